@@ -9,9 +9,12 @@ size; ties by hash), so two matching lines share a word among the first
 n - ceil(threshold * n) + 1 of each. Lines meet on these prefix words; pairs
 pass the length filter, the positional filter and a parity filter (the Hamming
 distance of 64-bit parities of two sets never exceeds their symmetric
-difference), and are then verified on their words. No filter drops a match.
-Equal sets are one row in the join, so lines repeated millions of times are
-cheap.
+difference). No filter drops a match. Equal sets are one row in the join, so
+lines repeated millions of times are cheap. The candidates of a set are
+verified on their words from the earliest line on until one holds, in rounds
+that take four times as many; so the earliest match is found without the
+words of all pairs. Lines to verify are fetched by a scan that a bitmap of
+fixed size thins out before an exact join.
 """
 
 from __future__ import annotations
@@ -20,16 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import fresh, matched, settle, text_key
+from .shared import bitmap, fresh, in_bitmap, matched, settle, text_key
 
 THRESHOLD = 0.85
 #: Size of the table of word counts (the counts of words that share an entry are added; any order is exact).
 RARITY_BITS = 18
+#: Size of the bitmap of lines to verify.
+WANTED_BITS = 26
 _LINES = 17  # bits of a line's number in a sort key
 _CODE = 39  # bits of a word's code in a sort key
 _CHUNK = 1 << 21  # pairs compared at once
@@ -157,6 +163,49 @@ def _meet(threshold: float):
     return run
 
 
+def _line_code(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return tx.mix(doc.view(np.uint64) + line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_line_code(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64))], ["code"])
+
+
+def _wanted_lines(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            texts = pc.fill_null(tx.as_array(batch.column(2)), "")
+            data, bounds = tx.raw_bytes(texts)
+            doc = batch.column(0).to_numpy()
+            many = np.diff(np.searchsorted(np.flatnonzero(data == 10), bounds)) + 1
+            row = np.repeat(np.arange(len(many)), many)
+            line = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            hit = np.flatnonzero(in_bitmap(raw, _line_code(doc[row], line), WANTED_BITS))
+            row, line = row[hit], line[hit]
+            content, now, parts = [], -1, []
+            for r, n in zip(row, line):
+                if r != now:
+                    now, parts = r, texts[int(r)].as_py().split("\n")
+                content.append(parts[n])
+            sets = []
+            for w in tx.words(pa.array(content, pa.string())):
+                sets += [np.unique(w.code[w.first[i] : w.first[i + 1]]).view(np.int64) for i in range(w.hi - w.lo)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), batch.column(1).take(pa.array(row)), pa.array(line), pa.array(sets, pa.list_(pa.int64()))], ["doc", "key", "line", "words"])
+
+    return run
+
+
+def _fetch(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(s, words): the words' codes of each set of firsts (s, at), from its first line."""
+    doc = F.xxhash64(F.col("at.id"), F.col("at.key"))
+    asked = firsts.select("s", doc.alias("doc"), "at.key", "at.line")
+    shared = bitmap(asked.select("doc", "line").mapInArrow(_codes, "code long"), WANTED_BITS)
+    found = rows.select(F.xxhash64("id", "key").alias("doc"), "key", "text").mapInArrow(_wanted_lines(shared), "doc long, key long, line long, words array<long>")
+    return found.join(asked, ["doc", "key", "line"]).select("s", "words").dropDuplicates(["s"])
+
+
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, key, line, first_id, first_key, first_line): each line that goes, with the earliest line that matches it.
 
@@ -181,16 +230,24 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     lines = scanned.where("s is not null").select("s", F.struct("id", "key", "line").alias("at"))
     wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
-    firsts = lines.join(wanted, "s", "left_semi").groupBy("s").agg(F.min("at").alias("at"))
-    firsts = firsts.select("s", "at", F.col("at.id").alias("w_id"), F.col("at.key").alias("w_key"))
-    asked = firsts.groupBy("w_id", "w_key").agg(F.collect_list(F.struct("at.line", "s", "at")).alias("asked"))
-    texts = matched(rows, asked, {"id": "w_id", "key": "w_key"}, "inner").dropDuplicates(["id", "key"])
-    cut = texts.select(F.split("text", "\n", -1).alias("parts"), F.explode("asked").alias("q")).select("q.s", "q.at", F.expr("lower(parts[cast(q.line as int)])").alias("content"))
-    sets = settle(cut.select("s", "at", F.array_distinct(F.filter(F.split("content", "[^0-9a-z\\x{80}-\\x{10FFFF}]+"), lambda x: x != "")).alias("words")))
-    x, y = sets.select(F.col("s").alias("a"), F.col("at").alias("at_a"), F.col("words").alias("words_a")), sets.select(F.col("s").alias("b"), F.col("at").alias("at_b"), F.col("words").alias("words_b"))
-    overlap = F.size(F.array_intersect("words_a", "words_b"))
-    true = pairs.join(x, "a").join(y, "b").withColumn("overlap", overlap).where(F.col("overlap") >= threshold * (F.size("words_a") + F.size("words_b") - F.col("overlap")) - 1e-9)
-    best = true.select(F.col("a").alias("s"), F.col("at_b").alias("at")).union(true.select("b", "at_a")).groupBy("s").agg(F.min("at").alias("other"))
+    firsts = settle(lines.join(wanted, "s", "left_semi").groupBy("s").agg(F.min("at").alias("at")))
+    x, y = firsts.toDF("a", "at_a"), firsts.toDF("b", "at_b")
+    ordered = pairs.join(x, "a").join(y, "b").withColumn("late", F.col("at_a") > F.col("at_b"))
+    ordered = ordered.select(F.when(F.col("late"), F.col("a")).otherwise(F.col("b")).alias("s"), F.when(F.col("late"), F.col("b")).otherwise(F.col("a")).alias("other"), F.least("at_a", "at_b").alias("at"))
+    ranked = settle(ordered.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("at", "other"))))
+    sets = settle(_fetch(rows, firsts))
+    best, last = None, 1
+    left = ranked.groupBy("s").agg(F.max("rank").alias("many"))
+    while not left.isEmpty():
+        now = ranked.where(f"rank > {last // 4} and rank <= {last}").join(left.select("s"), "s", "left_semi")
+        now = now.join(sets.toDF("other", "other_words"), "other").join(sets, "s")
+        overlap = F.size(F.array_intersect("words", "other_words"))
+        true = now.withColumn("overlap", overlap).where(F.col("overlap") >= threshold * (F.size("words") + F.size("other_words") - F.col("overlap")) - 1e-9)
+        found = settle(true.groupBy("s").agg(F.min("at").alias("other")))
+        best = found if best is None else best.union(found)
+        left = settle(left.where(f"many > {last}").join(found, "s", "left_anti"))
+        last *= 4
+    best = best if best is not None else firsts.toDF("s", "other").limit(0)
 
     own = lines.withColumn("own", F.min("at").over(Window.partitionBy("s")))
     found = own.join(best, "s", "left").withColumn("first", F.least("own", "other")).where("at > first")

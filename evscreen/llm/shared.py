@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,43 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _packed_bits(batches):
+    """Rows (part, slot) ordered by part: the bits of each part's slots below 2**20."""
+    now, bits = None, None
+    for batch in batches:
+        for part in np.unique(batch.column(0).to_numpy()):
+            if part != now and bits is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "bits"])
+                bits = None
+            now, bits = int(part), np.zeros(1 << 20, bool) if bits is None else bits
+            bits[batch.column(1).to_numpy()[batch.column(0).to_numpy() == part]] = True
+    if bits is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "bits"])
+
+
+def bitmap(codes: DataFrame, bits: int) -> Broadcast:
+    """A broadcast bitmap of 2**bits bits, those of the leading bits of the only column's 64-bit codes.
+
+    Its size is fixed; more codes only make it pass more. What it passes is
+    therefore joined exactly afterwards.
+    """
+    if bits < 20:
+        raise ValueError("at least 20 bits")
+    slots = codes.toDF("code").select(F.shiftrightunsigned("code", 64 - bits).alias("slot")).distinct()
+    parts = slots.select(F.shiftright("slot", 20).alias("part"), F.col("slot").bitwiseAND((1 << 20) - 1).alias("slot"))
+    table = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_packed_bits, "part long, bits binary").toArrow()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for part, raw in zip(table.column(0).to_pylist(), table.column(1).to_pylist()):
+        out[part << 17 : (part + 1) << 17] = np.frombuffer(raw, np.uint8)
+    return codes.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def in_bitmap(raw: np.ndarray, codes: np.ndarray, bits: int) -> np.ndarray:
+    """Which codes the bitmap, as bytes, may hold."""
+    slot = codes >> np.uint64(64 - bits)
+    return (raw[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 > 0
+
+
 def matched(left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str) -> DataFrame:
     """Join on pairs of columns, with null equal to null; right's other names must be new to left."""
     on = [left[a].eqNullSafe(right[b]) for a, b in pairs.items()]
