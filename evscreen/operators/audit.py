@@ -11,6 +11,7 @@ from evscreen.errors import AuditError
 
 EXCLUSION, INCLUSION = "recall_audit", "inclusion_audit"
 ALL = "all"
+STRATA_LIMIT = 10_000
 
 
 def excluded_population(decisions: DataFrame, records: DataFrame) -> DataFrame:
@@ -62,6 +63,19 @@ def apportion(sizes: DataFrame, n: int, order: str = "first_seen") -> DataFrame:
     return own.withColumns({"left": left, "rank": rank}).select("stratum", "size", (F.col("base") + (F.col("rank") <= F.col("left")).cast("int")).cast("long").alias("allocated"))
 
 
+def _check_size(n: int, size: int) -> None:
+    if not 0 < n <= size:
+        raise AuditError(f"can't draw {n} of {size} records")
+
+
+def gathered(strata: DataFrame) -> DataFrame:
+    """A table of strata, read once: strata are what people review apart from each other, STRATA_LIMIT at most."""
+    rows = strata.limit(STRATA_LIMIT + 1).collect()
+    if len(rows) > STRATA_LIMIT:
+        raise AuditError(f"more than {STRATA_LIMIT} strata")
+    return strata.sparkSession.createDataFrame(rows, strata.schema)
+
+
 def _draw_key(seed: int, record_id: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), record_id), 256)
 
@@ -72,16 +86,15 @@ def draw(population: DataFrame, n: int, seed: int, by: str | None = None, plane:
     Records are ranked by a keyed hash, so that a draw doesn't depend on
     partitions; ranking within strata is limited before the shuffle.
     """
-    size = population.count()
-    if not 0 < n <= size:
-        raise AuditError(f"can't draw {n} of {size} records")
     key = _draw_key(seed, F.col("record_id"))
     if by is None:
+        _check_size(n, population.count())
         return population.select("record_id", key.alias("k")).orderBy("k", "record_id").limit(n).select("record_id", F.lit(ALL).alias("stratum_kind"), F.lit(ALL).alias("stratum"), F.lit(plane).alias("plane"))
     own = population.withColumn("stratum", F.col(by).cast("string"))
-    if not own.where("stratum is null").isEmpty():
+    sizes = gathered(own.groupBy("stratum").agg(F.count("*").alias("size"), F.min("record_id").alias("first_seen")))
+    if not sizes.where("stratum is null").isEmpty():
         raise AuditError(f"a record has no {by}")
-    sizes = own.groupBy("stratum").agg(F.count("*").alias("size"), F.min("record_id").alias("first_seen"))
+    _check_size(n, sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     shares = apportion(sizes, n).select("stratum", "allocated")
     rank = F.row_number().over(Window.partitionBy("stratum").orderBy("k", "record_id"))
     ranked = own.select("record_id", "stratum", key.alias("k")).withColumn("rank", rank).where(F.col("rank") <= n)
@@ -102,7 +115,7 @@ def draw_like_random(ids_by_stratum: dict[str, list[str]], n: int, seed: int) ->
 def apply_labels(rows: DataFrame, labels: DataFrame, reviewer: str | None = None, blinded: bool | None = None) -> DataFrame:
     """Audit rows with human_label, reviewer and blinded; refused if a row has no label or one outside the domain."""
     out = rows.join(labels.select("record_id", "human_label"), "record_id", "left")
-    bad = out.where(F.col("human_label").isNull() | ~F.col("human_label").isin(-1, 0, 1)).limit(5).collect()
+    bad = out.select("record_id", "human_label").where(F.col("human_label").isNull() | ~F.col("human_label").isin(-1, 0, 1)).limit(5).collect()
     if bad:
         raise AuditError("no usable label for " + ", ".join(r["record_id"] for r in bad))
     return out.withColumns({"reviewer": F.lit(reviewer), "blinded": F.lit(blinded)})
@@ -114,15 +127,15 @@ def strata(rows: DataFrame, sizes: DataFrame, plane: str, relevant: tuple[int, .
     Refused: rows of another plane, rows without a label, strata without a
     population or larger than it, and draws of several designs at once.
     """
-    checked = rows.agg(F.count_if(F.col("plane") != plane).alias("foreign"), F.count_if(F.col("human_label").isNull()).alias("open"), F.countDistinct("stratum_kind").alias("designs")).first()
-    if checked["foreign"]:
+    own = rows.groupBy("stratum_kind", "stratum").agg(F.count("*").alias("n"), F.count_if(F.col("human_label").isin(*relevant)).alias("m"), F.count_if(F.col("plane") != plane).alias("foreign"), F.count_if(F.col("human_label").isNull()).alias("open"))
+    found = gathered(own.join(sizes.withColumnRenamed("kind", "stratum_kind"), ["stratum_kind", "stratum"], "left"))
+    every = found.collect()
+    if any(r["foreign"] for r in every):
         raise AuditError(f"only rows of {plane} may enter its strata")
-    if checked["open"]:
+    if any(r["open"] for r in every):
         raise AuditError("every audit row needs a label")
-    if checked["designs"] > 1:
+    if len({r["stratum_kind"] for r in every}) > 1:
         raise AuditError("rows of several draw designs overlap and can't be added up")
-    own = rows.groupBy("stratum_kind", "stratum").agg(F.count("*").alias("n"), F.count_if(F.col("human_label").isin(*relevant)).alias("m"))
-    out = own.join(sizes.withColumnRenamed("kind", "stratum_kind"), ["stratum_kind", "stratum"], "left")
-    if not out.where("population is null or n > population").isEmpty():
+    if any(r["population"] is None or r["n"] > r["population"] for r in every):
         raise AuditError("a stratum has no population, or fewer than were drawn")
-    return out.select(F.lit("exclusion" if plane == EXCLUSION else "inclusion").alias("role"), "stratum_kind", "stratum", "n", "m", "population")
+    return found.select(F.lit("exclusion" if plane == EXCLUSION else "inclusion").alias("role"), "stratum_kind", "stratum", "n", "m", "population")

@@ -28,7 +28,8 @@ def vote_confidence(vendor: Column, raw: Column) -> Column:
     plain = _geometric_mean(F.transform(content, lambda e: F.struct(e["token"].alias("token"), e["logprob"].try_cast("double").alias("p"))))
     chosen = F.coalesce(F.get_json_object(raw, "$.logprobs.chosenCandidates"), F.get_json_object(raw, "$.logprobs.chosen_candidates"))
     google = _geometric_mean(F.transform(F.from_json(chosen, _GOOGLE), lambda e: F.struct(e["token"].alias("token"), F.coalesce(e["logProbability"].try_cast("double"), e["log_probability"].try_cast("double")).alias("p"))))
-    return F.least(F.lit(1.0), F.when(vendor.isin(*OPENAI_LIKE), plain).when(vendor == "google", google))
+    found = F.when(vendor.isin(*OPENAI_LIKE), plain).when(vendor == "google", google)
+    return F.when(found.isNotNull(), F.least(F.lit(1.0), found))  # least() alone passes over nulls
 
 
 def record_confidence(votes: DataFrame, probability: str = "probability") -> DataFrame:

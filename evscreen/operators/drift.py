@@ -55,7 +55,7 @@ def summary(evaluation: DataFrame) -> DataFrame:
 def staleness(evaluations: DataFrame, as_of: str, max_days: float) -> DataFrame:
     """One row (last_evaluated_at, staleness_days, stale): stale if never evaluated, or more than max_days ago."""
     last = evaluations.agg(F.max("evaluated_at").alias("last_evaluated_at"))
-    days = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("last_evaluated_at")) / F.lit(86400e6)
+    days = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("last_evaluated_at").cast("timestamp"))) / F.lit(86400e6)
     return last.select("last_evaluated_at", days.alias("staleness_days"), F.coalesce(days > max_days, F.lit(True)).alias("stale"))
 
 
