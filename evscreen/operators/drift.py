@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evscreen.errors import DriftError
 from evscreen.operators import agreement
-from evscreen.operators.provenance import Epoch, canonical_hash, open_epoch
+from evscreen.operators.provenance import DRIFT, ConfigChange, Epoch, canonical_hash, open_epoch
 
 HARD_CROSSINGS, ADVISORY_ALPHA = 2, 0.80
 
@@ -59,14 +59,14 @@ def staleness(evaluations: DataFrame, as_of: str, max_days: float) -> DataFrame:
     return last.select("last_evaluated_at", days.alias("staleness_days"), F.coalesce(days > max_days, F.lit(True)).alias("stale"))
 
 
-def epoch_for_trigger(config_payload: dict, evaluation: DataFrame) -> tuple[Epoch, dict]:
-    """A new epoch of the same configuration, and the change event to log; refused without a trigger."""
+def epoch_for_trigger(config_payload: dict, evaluation: DataFrame) -> tuple[Epoch, ConfigChange]:
+    """A new epoch of the same configuration, and the change to log; refused without a trigger."""
     row = summary(evaluation).first()
     if not row["triggered"]:
         raise DriftError("no rater triggered")
     own = canonical_hash(config_payload)
     epoch = open_epoch(own)
-    return epoch, {"timestamp": epoch.opened_at, "before": own, "after": own, "reason": "drift of " + ", ".join(row["hard_trigger_vendors"]), "change_type": "drift", "changed_fields": [], "approver": None}
+    return epoch, ConfigChange(epoch.opened_at, own, own, "drift of " + ", ".join(row["hard_trigger_vendors"]), DRIFT)
 
 
 def simulate(spark: SparkSession, flips: float, trials: int, composition: tuple[int, int, int] = (90, 3, 7), seed: int = 1) -> DataFrame:

@@ -7,7 +7,7 @@ import importlib.metadata
 import json
 import os
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 from datetime import UTC, datetime
 from typing import Any
 
@@ -19,8 +19,8 @@ from evscreen.errors import ProvenanceError
 from evscreen.operators.ensemble import CONTRACT_VERSION, PACKED_CONTRACT_VERSION
 from evscreen.sources.ingest import EnsembleConfig
 
-CHANGE_TYPES = ("config", "drift", "initial")
-AUDIT_KINDS = ("none", "track", "confidence", "status")
+INITIAL, EXPLICIT, DRIFT = CHANGE_TYPES = ("initial_config", "explicit_config_change", "sentinel_drift")
+AUDIT_KINDS = ("none", "track", "confidence")
 
 
 def canonical_json(payload: Any) -> str:
@@ -77,7 +77,7 @@ class ConfigChange:
             raise ProvenanceError("a change needs a reason")
         if self.change_type not in CHANGE_TYPES:
             raise ProvenanceError(f"unknown change type {self.change_type!r}")
-        if self.before == self.after and self.change_type != "drift":
+        if self.before == self.after and self.change_type != DRIFT:
             raise ProvenanceError("nothing changed")
 
 
@@ -135,52 +135,56 @@ def lineage(events: DataFrame, config: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class AuditDesign:
-    sample_size: int
     stratify_by: str = "none"
-    confidence: float = 0.95
+    audit_size_policy: str = ""
+    confidence_level: float = 0.95
 
     def __post_init__(self) -> None:
-        if self.sample_size < 1 or self.stratify_by not in AUDIT_KINDS or not 0 < self.confidence < 1:
-            raise ProvenanceError("an audit needs a size, a known stratification and a confidence within (0, 1)")
+        if self.stratify_by not in AUDIT_KINDS or not 0 < self.confidence_level < 1:
+            raise ProvenanceError("an audit needs a known stratification and a confidence within (0, 1)")
 
 
 @dataclass(frozen=True)
 class AdjudicationRules:
-    reviewers: int = 1
-    blinded: bool = True
-    conflict_rule: str = "consensus"
+    protocol_version: str = "1"
+    description: str = ""
 
 
 @dataclass(frozen=True)
 class DriftPolicy:
     hard_trigger_crossings: int = 2
     advisory_alpha_threshold: float = 0.80
-    max_staleness_days: float | None = None
+    cadence_note: str = ""
 
     def __post_init__(self) -> None:
-        if self.hard_trigger_crossings < 1 or not -1 <= self.advisory_alpha_threshold <= 1:
+        if self.hard_trigger_crossings < 1 or not 0 <= self.advisory_alpha_threshold <= 1:
             raise ProvenanceError("drift thresholds are out of range")
 
 
 @dataclass(frozen=True)
 class Reporting:
-    recall_target: float | None = None
-    report: tuple[str, ...] = ("agreement", "error_correlation", "recall", "prisma")
+    validation_record_schema_version: str = ""
+    notes: str = ""
 
 
 @dataclass(frozen=True)
 class Protocol:
-    audit: AuditDesign
-    adjudication: AdjudicationRules = AdjudicationRules()
-    drift: DriftPolicy = DriftPolicy()
-    reporting: Reporting = Reporting()
+    """The plan of an analysis; it identifies itself and never enters a configuration's id."""
+
+    audit_design: AuditDesign = AuditDesign()
+    adjudication_protocol: AdjudicationRules = AdjudicationRules()
+    sentinel_policy: DriftPolicy = DriftPolicy()
+    reporting_spec: Reporting = Reporting()
 
     def to_dict(self) -> dict[str, Any]:
-        return json.loads(json.dumps(asdict(self)))
+        return asdict(self)
 
     @classmethod
-    def from_dict(cls, p: dict[str, Any]) -> Protocol:
-        return cls(AuditDesign(**p["audit"]), AdjudicationRules(**p["adjudication"]), DriftPolicy(**p["drift"]), Reporting(p["reporting"]["recall_target"], tuple(p["reporting"]["report"])))
+    def from_dict(cls, payload: dict[str, Any]) -> Protocol:
+        """Parts and fields that are missing have their defaults; others are ignored."""
+        parts = {f.name: type(f.default) for f in fields(cls)}
+        own = {k: {n.name: payload[k][n.name] for n in fields(kind) if n.name in payload[k]} for k, kind in parts.items() if k in payload}
+        return cls(**{k: parts[k](**v) for k, v in own.items()})
 
 
 def protocol_id(protocol: Protocol) -> str:
