@@ -43,7 +43,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.", "Copyright {year} {holder}. All rights reserved."),
 }
-CANDIDATE = "licen[cs]|copyright|all rights reserved|public domain|spdx|creative commons|unencumbered"
+CANDIDATE = "licen[cs]|copyright|all rights|public domain|spdx|creative commons|unencumbered|gpl|gnu|cc0|cc by"
 #: Templates that are confirmed per block, at most; the best by reduction come first, and one is confirmed or none.
 WINNERS = 3
 MIN_REDUCTION, MIN_AGREEMENT = 0.2, 0.8
