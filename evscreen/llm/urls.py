@@ -2,7 +2,7 @@
 
 Spark's FP-growth mines combinations of URL tokens that go with a bad label.
 Rules below the least support or confidence go, and so do rules that a rule
-with fewer tokens and no less confidence implies. An inverted index from
+with fewer tokens, or none, and no less confidence implies. An inverted index from
 tokens to rules matches the rest against every URL: a rule matches if all its
 tokens are met.
 """
@@ -28,7 +28,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     """(rule, tokens, confidence, support) from rows (tokens, bad), where tokens are distinct and bad is a boolean.
 
     Support is the share of rows with all tokens of the rule and a bad label;
-    it must reach min_support and be min_count rows at least.
+    it must reach min_support and be min_count rows at least. Rules that are
+    no surer than the share of bad rows, the rule without tokens, go.
     """
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule long, tokens array<string>, confidence double, support double")
@@ -38,7 +39,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
         return empty
     least = max(min_support * n, min_count)
     bad = baskets.where(F.array_contains("items", _BAD))
-    if bad.count() < least:
+    many = bad.count()
+    if many < least:
         return empty
     # A token below the least count among bad rows is in no rule; without it, itemsets stay few.
     often = bad.select(F.explode("items").alias("item")).groupBy("item").count().where(F.col("count") >= least - 1e-9).select("item")
@@ -47,7 +49,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     kept = settle(kept.select("items"))
     m = kept.count()
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 1e-9) / m), minConfidence=min_confidence).fit(kept)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BAD))).select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * m / n).alias("support"))
+    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(_BAD))) & (F.col("confidence") > many / n + 1e-9)).select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * m / n).alias("support"))
     rules = settle(rules.withColumn("rule", F.xxhash64("tokens")))
     index = rules.select("rule", F.explode("tokens").alias("token"))
     small = rules.select(F.col("rule").alias("less"), F.size("tokens").alias("size"), F.col("confidence").alias("less_confidence"))
