@@ -63,8 +63,8 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default: int = DE
     rated = rates(docs, weights, default, budget, source_col, text_col)
     copy, name, count, rate = fresh(docs, copy_col, "rate_source", "rate_tokens", "rate")
     rated = rated.toDF(name, count, rate)
-    out = docs.join(rated, docs[source_col].eqNullSafe(rated[name]), "inner")
+    out = docs.join(rated, F.col(f"`{source_col}`").eqNullSafe(F.col(name)), "inner")
     whole = F.floor(rate).cast("int")
-    many = whole + (uniform(seed, docs[id_col]) < F.col(rate) - F.floor(rate)).cast("int")
+    many = whole + (uniform(seed, F.col(f"`{id_col}`")) < F.col(rate) - F.floor(rate)).cast("int")
     out = out.withColumn(copy, F.explode(F.when(many > 0, F.sequence(F.lit(1), many)).otherwise(F.array().cast("array<int>"))))
-    return out.select(*[docs[c] for c in docs.columns], copy)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], copy)
