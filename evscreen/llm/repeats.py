@@ -17,7 +17,6 @@ code, and the runs that an earlier document has are joined to spans.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import settle, shared_dir, text_key
+from .shared import bucketed, drop_tables, settle, text_key
 
 LENGTH, ANCHOR, HEAD = 50, 20, 8
 BATCHES = 4
@@ -81,17 +80,10 @@ class SuffixFamily:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.levels, self.hits = spark, [], []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def _write(self, df: DataFrame) -> str:
-        name = f"suffix_level_{uuid.uuid4().hex}"
-        df = df.repartition(self.buckets, "suffix")
-        df.write.bucketBy(self.buckets, "suffix").sortBy("suffix").option("path", shared_dir(self.spark)).saveAsTable(name)
-        return name
 
     def add(self, batch: DataFrame) -> None:
         """Index a batch (suffix, key, place), and keep the suffixes that it shares with other documents."""
-        name = self._write(batch)
+        name = bucketed(batch, "suffix")
         new = self.spark.table(name)
         inside = new.groupBy("suffix").agg(F.min("key").alias("low"), F.max("key").alias("high"))
         found = inside.where("low <> high").select("suffix")
@@ -102,17 +94,10 @@ class SuffixFamily:
         self.levels.append((0, name))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (_, a), (rank, b) = self.levels.pop(), self.levels.pop()
-            merged = self._write(self.spark.table(a).union(self.spark.table(b)))
-            self._drop(a, b)
+            merged = bucketed(self.spark.table(a).union(self.spark.table(b)), "suffix")
+            drop_tables(self.spark, a, b)
             self.levels.append((rank + 1, merged))
 
-    def _drop(self, *names: str) -> None:
-        for name in names:
-            place = self.spark.sql(f"describe formatted {name}").where("col_name = 'Location'").first()[1]
-            self.spark.sql(f"drop table {name}")
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
     def shared(self) -> DataFrame:
         """(key, place): the anchors whose suffix another document has; written, so that the levels can be dropped."""
         hits = self.hits[0]
@@ -124,7 +109,7 @@ class SuffixFamily:
         for more in parts[1:]:
             out = out.union(more)
         out = settle(out.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places")))
-        self._drop(*(name for _, name in self.levels))
+        drop_tables(self.spark, *(name for _, name in self.levels))
         self.levels, self.hits = [], []
         return out
 

@@ -30,6 +30,23 @@ def settle(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str) -> str:
+    """The name of a table of df in the shared folder, bucketed and sorted by column: joins on it don't move it."""
+    spark = df.sparkSession
+    name, buckets = f"evscreen_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", shared_dir(spark)).saveAsTable(name)
+    return name
+
+
+def drop_tables(spark: SparkSession, *names: str) -> None:
+    """Drop bucketed tables with their files."""
+    for name in names:
+        place = spark.sql(f"describe formatted {name}").where("col_name = 'Location'").first()[1]
+        spark.sql(f"drop table {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_key(text: Column) -> Column:
     """With the id, identifies a row; repeated rows share it and count as one document."""
     return F.xxhash64(text, F.lit(7))
