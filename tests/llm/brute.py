@@ -45,8 +45,13 @@ def fingerprint(text, bits):
     return np.frombuffer(simhash.fingerprint_words(tx.hash_words(tx.plain_words(text)), bits), np.uint8)
 
 
-def copies(docs, bits, most):
-    """{id: kept id} of the components of all pairs within most bits."""
+def meet(x, y, blocks, width):
+    """Whether two fingerprints have a block in common."""
+    return bool(set(simhash.block_values(x[None], blocks, width)[0]) & set(simhash.block_values(y[None], blocks, width)[0]))
+
+
+def copies(docs, bits, most, meets=lambda x, y: True):
+    """{id: kept id} of the components of all pairs within most bits that meet."""
     rows = [(i, fingerprint(t, bits)) for i, t in docs if tx.plain_words(t)]
     root = {i: i for i, _ in rows}
 
@@ -57,7 +62,7 @@ def copies(docs, bits, most):
 
     for a, (i, x) in enumerate(rows):
         for j, y in rows[:a]:
-            if np.bitwise_count(x ^ y).sum() <= most:
+            if np.bitwise_count(x ^ y).sum() <= most and meets(x, y):
                 p, q = sorted((find(i), find(j)))
                 root[q] = p
     return {i: find(i) for i in root if find(i) != i}

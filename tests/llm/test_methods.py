@@ -272,6 +272,17 @@ def test_recall_of_the_defaults(spark):
     assert set(got) <= set(want)
 
 
+def test_recall_of_pairs():
+    """Of the pairs within MAX_DISTANCE among real near copies, over 0.9 share a block."""
+    import pyarrow.parquet as pq
+
+    texts = list(dict.fromkeys(pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()))
+    prints = np.array([brute.fingerprint(t, simhash.BLOCKS * simhash.BLOCK_BITS) for t in texts if tx.plain_words(t)])
+    pairs = [(i, i + 1 + j) for i in range(len(prints)) for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(axis=1, dtype=np.int64) <= simhash.MAX_DISTANCE)]
+    values = simhash.block_values(prints, simhash.BLOCKS, simhash.BLOCK_BITS)
+    assert len(pairs) > 50 and np.mean([(values[i] == values[j]).any() for i, j in pairs]) > 0.9
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]

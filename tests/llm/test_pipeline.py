@@ -55,7 +55,7 @@ def test_stages_and_run(spark, tmp_path):
     deduplicated = brute.deduplicated(sorted(spoken), lines.THRESHOLD)
     assert {(r["doc_id"], r["text"]) for r in kept[1]} == set(deduplicated)
     assert all(r["n_chars"] == len(r["text"]) for r in kept[1]) and len(deduplicated) < len(spoken) or any(a != b for a, b in zip(sorted(spoken), deduplicated))
-    gone = brute.copies(sorted(deduplicated), simhash.BLOCKS * simhash.BLOCK_BITS, simhash.MAX_DISTANCE)
+    gone = brute.copies(sorted(deduplicated), simhash.BLOCKS * simhash.BLOCK_BITS, simhash.MAX_DISTANCE, lambda x, y: brute.meet(x, y, simhash.BLOCKS, simhash.BLOCK_BITS))
     single = [x for x in deduplicated if x[0] not in gone]
     assert gone and {r["doc_id"] for r in kept[2]} == {i for i, _ in single}
     bad = {i for i, _ in brute.leaked(single, items, decontaminate.MIN_SCORE)}
