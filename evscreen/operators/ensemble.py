@@ -37,6 +37,24 @@ def user_message(record_id: Column, title: Column, abstract: Column) -> Column:
     return F.concat(F.lit("Record "), record_id, F.lit(":\nTitle: "), title, F.lit("\nAbstract: "), abstract)
 
 
+def numbered(records: DataFrame, group: str, order: str, tie: str) -> DataFrame:
+    """records with place: their place from 0 in their group by (order, tie).
+
+    order is a number. It is cut at quantiles into ranges; places within a
+    range of a group are counted in parallel, and the ranges' sizes, a row for
+    each range and group, are added up.
+    """
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = records.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
+    cuts = F.array(*map(F.lit, sorted(set(cuts or [0]))))
+    own = records.withColumn("place_range", F.size(F.filter(cuts, lambda c: c < F.col(order))))
+    sizes = own.groupBy(group, "place_range").agg(F.count("*").alias("place_size"))
+    before = Window.partitionBy(group).orderBy("place_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(group, "place_range", F.coalesce(F.sum("place_size").over(before), F.lit(0)).alias("place_start"))
+    within = F.row_number().over(Window.partitionBy(group, "place_range").orderBy(order, tie)) - 1
+    return own.withColumn("place", within).join(starts, [group, "place_range"]).withColumn("place", F.col("place") + F.col("place_start")).drop("place_range", "place_start")
+
+
 def pack(records: DataFrame, size: int, group: Column | None = None, order: str = "seq") -> DataFrame:
     """records with chunk, position and peers: runs of up to size records of one group (prompt), by order.
 
@@ -45,8 +63,8 @@ def pack(records: DataFrame, size: int, group: Column | None = None, order: str
     if size < 1:
         raise InputError("chunks need at least one record")
     keyed = records.withColumn("chunk_group", F.coalesce((group if group is not None else F.lit("")).cast("string"), F.lit("")))
-    place = F.row_number().over(Window.partitionBy("chunk_group").orderBy(order, "record_id")) - 1
-    out = keyed.withColumn("position", place % size).withColumn("chunk", F.floor(place / size).cast("long"))
+    placed = numbered(keyed, "chunk_group", order, "record_id")
+    out = placed.withColumn("position", (F.col("place") % size).cast("int")).withColumn("chunk", F.floor(F.col("place") / size).cast("long")).drop("place")
     own = Window.partitionBy("chunk_group", "chunk")
     return out.withColumn("peers", F.array_sort(F.array_remove(F.collect_list("record_id").over(own), F.col("record_id"))))
 

@@ -16,11 +16,12 @@ KEY_KINDS = ("doi", "pmid", "arxiv")
 
 def external_key(ids: Column, record_id: Column) -> Column:
     """The first of doi, pmid and arxiv as kind:value, the last id of a kind counting; else id: and the id in lower case."""
-    out = F.concat(F.lit("id:"), F.lower(strip(record_id)))
-    for kind in reversed(KEY_KINDS):
-        own = F.try_element_at(F.filter(ids, lambda x, k=kind: (x["kind"] == k) & (x["value"] != "")), F.lit(-1))
-        out = F.coalesce(F.concat(F.lit(f"{kind}:"), own["value"]), out)
-    return out
+
+    def last(kind: str) -> Column:  # a default argument would take the element's place in the array
+        return F.try_element_at(F.filter(ids, lambda x: (x["kind"] == kind) & (x["value"] != "")), F.lit(-1))["value"]
+
+    keys = [F.concat(F.lit(f"{kind}:"), last(kind)) for kind in KEY_KINDS]
+    return F.coalesce(*keys, F.concat(F.lit("id:"), F.lower(strip(record_id))))
 
 
 def text_key(text: Column) -> Column:
