@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import bitmap, fresh, in_bitmap, matched, settle, text_key
+from .shared import bitmap, bucketed, drop_tables, fresh, in_bitmap, matched, settle, text_key
 
 THRESHOLD = 0.85
 #: Size of the table of word counts (the counts of words that share an entry are added; any order is exact).
@@ -235,7 +235,8 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     ordered = pairs.join(x, "a").join(y, "b").withColumn("late", F.col("at_a") > F.col("at_b"))
     ordered = ordered.select(F.when(F.col("late"), F.col("a")).otherwise(F.col("b")).alias("s"), F.when(F.col("late"), F.col("b")).otherwise(F.col("a")).alias("other"), F.least("at_a", "at_b").alias("at"))
     ranked = settle(ordered.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("at", "other"))))
-    sets = settle(_fetch(rows, firsts))
+    table = bucketed(_fetch(rows, firsts), "s")  # every round joins it twice, and never moves it
+    sets = spark.table(table)
     best, last = None, 1
     left = ranked.groupBy("s").agg(F.max("rank").alias("many"))
     while not left.isEmpty():
@@ -247,6 +248,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         best = found if best is None else best.union(found)
         left = settle(left.where(f"many > {last}").join(found, "s", "left_anti"))
         last *= 4
+    drop_tables(spark, table)
     best = best if best is not None else firsts.toDF("s", "other").limit(0)
 
     own = lines.withColumn("own", F.min("at").over(Window.partitionBy("s")))
