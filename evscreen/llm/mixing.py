@@ -3,8 +3,9 @@
 One pass counts the tokens of each source; rates follow from target weights,
 so that the expected tokens of a source are its weight's share of the budget.
 Each document is then emitted floor(rate) times, plus once more if a uniform
-number hashed from (seed, id) is below the fraction. The join with the rates
-is on the source; the rates are a row per source.
+number hashed from (seed, id) is below the fraction. The rates, a row per
+source, are written, counted, and broadcast up to BROADCAST_SOURCES of them, so
+that documents of a hot source stay where they are; beyond, they are joined.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import fresh, settle
 
 SEED = "mix-1"
 #: Target weights in parts; a source that isn't listed has DEFAULT_WEIGHT parts.
 WEIGHTS: Mapping[str, int] = {"src0": 4, "src1": 2, "src2": 1}
 DEFAULT_WEIGHT = 1
+#: Sources whose rates are broadcast, at most.
+BROADCAST_SOURCES = 100_000
 _SPACES = "[^ \\t\\n\\r\\f]+"
 
 
@@ -60,7 +63,8 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default: int = DE
     rate. An empty table gives an empty result. If docs already has a column
     named copy_col, an underscore is added to the new one's name.
     """
-    rated = rates(docs, weights, default, budget, source_col, text_col)
+    rated = settle(rates(docs, weights, default, budget, source_col, text_col))
+    rated = F.broadcast(rated) if rated.count() <= BROADCAST_SOURCES else rated
     copy, name, count, rate = fresh(docs, copy_col, "rate_source", "rate_tokens", "rate")
     rated = rated.toDF(name, count, rate)
     out = docs.join(rated, F.col(f"`{source_col}`").eqNullSafe(F.col(name)), "inner")
