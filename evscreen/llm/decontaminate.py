@@ -1,23 +1,24 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-The word n-grams of all test items are counted over the whole corpus; the
-rarest share of each item's n-grams are its seeds, whatever their counts, so a
-test item that leaked a million times keeps its seeds. Passages around seeds
-are joined to the items that own the seeds and aligned with them word by
-word; an item whose share of the best possible score reaches min_score was
-copied, edits included.
+All word n-grams of a test item are seeds. Their size is chosen so that every
+alignment of min_score keeps some of them intact, whatever the edits, and how
+many it keeps, within how many words, says which passages have to be aligned
+with the item word by word; an item whose share of the best possible score
+reaches min_score was copied, edits included. Nothing that would reach it is
+left out.
 
-What the scan of the corpus carries along is a bitmap of fixed size; all
-joins are ordinary joins on n-gram codes.
+What a scan of the corpus carries along are the items themselves, in parts of
+about ITEM_CHARS characters; each part is a scan, and no text is moved.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +26,10 @@ from . import text as tx
 from .shared import fresh, matched, settle, text_key
 
 GRAM = 3
-SEED_SHARE = 0.5
 MIN_SCORE = 0.6
 BITMAP_BITS = 24
+#: Of a part of the items; and of seeds in texts, with each item that owns them, that are held at once unless one text has more.
+ITEM_CHARS, HITS_AT_ONCE = 1 << 21, 1 << 21
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -49,16 +51,84 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _item_grams(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in tx.words(batch.column(1)):
-                for i in range(w.hi - w.lo):
-                    code = np.unique(tx.rolling(w.code[w.first[i] : w.first[i + 1]], size)).view(np.int64)
-                    at = pa.array(np.full(len(code), w.lo + i))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(code), pa.array(np.full(len(code), w.first[i + 1] - w.first[i]))], ["item", "gram", "words"])
+def seed_rule(words: int, gram: int, least: float) -> tuple[int, int]:
+    """(size, number): the longest seeds, of gram words at most, and how many of them any alignment of an item of so many words keeps intact.
 
-    return run
+    With m matches and p mismatches and gaps, 2m - p >= 2 * least * words. The
+    matches lie in p + 1 runs at most, and a run of r words has r - size + 1
+    intact seeds, so m - (size - 1)(2m - 2 * least * words + 1) remain at
+    least; that falls with m, which is at most words.
+    """
+    for size in range(gram, 1, -1):
+        number = math.ceil(words * (1 - 2 * (size - 1) * (1 - least)) - (size - 1) - 1e-9)
+        if number >= 1:
+            return size, number
+    return 1, max(1, math.ceil(least * words - 1e-9))
+
+
+class Index:
+    """Some items, the seeds of each, and how long a passage an alignment with it can cover."""
+
+    def __init__(self, names: pa.Array, codes: list[np.ndarray], gram: int, least: float):
+        self.names, self.codes, self.gram, self.least = names, codes, gram, least
+        rules = [seed_rule(len(c), gram, least) for c in codes]
+        self.number = np.array([n for _, n in rules], np.int64)
+        self.size = np.array([k for k, _ in rules], np.int64)
+        self.reach = np.array([int(len(c) * (3 - 2 * least) + 1e-9) for c in codes], np.int64)
+        self.tables = {}
+        for size in sorted(set(self.size.tolist())):
+            owners = np.flatnonzero(self.size == size)
+            grams = [np.unique(tx.rolling(codes[i], size)) for i in owners]
+            owner, grams = np.repeat(owners, [len(g) for g in grams]), np.concatenate(grams)
+            order = np.argsort(grams, kind="stable")
+            distinct, first = np.unique(grams[order], return_index=True)
+            slots = np.zeros(1 << BITMAP_BITS, bool)
+            slots[(distinct >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
+            self.tables[size] = np.packbits(slots), distinct, np.r_[first, len(grams)], owner[order]
+        self.bitmaps: dict[int, np.ndarray] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"bitmaps": {}}
+
+    def hits(self, w: tx.Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, item, first word) of each seed in a text, ordered so, for some rows at a time."""
+        long = np.diff(w.first) >= self.gram
+        for size, (packed, distinct, first, owner) in self.tables.items():
+            if size not in self.bitmaps:
+                self.bitmaps[size] = np.unpackbits(packed).view(bool)
+            at, code = _hits(w, size, self.bitmaps[size])
+            seed = np.minimum(np.searchsorted(distinct, code), len(distinct) - 1)
+            row = np.searchsorted(w.first, at, "right") - 1
+            true = (distinct[seed] == code) & long[row]
+            at, seed, row = at[true], seed[true], row[true]
+            count = first[seed + 1] - first[seed]
+            total = np.r_[0, np.cumsum(count)]
+            cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True]) if len(row) else np.zeros(1, np.int64)
+            lo = 0
+            while lo < len(cut) - 1:
+                hi = max(lo + 1, int(np.searchsorted(total[cut], total[cut[lo]] + HITS_AT_ONCE, "right")) - 1)
+                a, b = cut[lo], cut[hi]
+                own = np.repeat(np.arange(a, b), count[a:b])
+                item = owner[first[seed[own]] + np.arange(len(own)) - (total[own] - total[a])]
+                order = np.lexsort((at[own], item, row[own]))
+                yield row[own][order], item[order], at[own][order]
+                lo = hi
+
+    def passages(self, w: tx.Words) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, first word, word after the last): where an alignment that is good enough can lie."""
+        for row, item, at in self.hits(w):
+            number, reach, size = self.number[item], self.reach[item], self.size[item]
+            last = np.arange(len(at)) + number - 1
+            fits = np.flatnonzero(last < len(at))
+            last = last[fits]
+            end = at[last] + size[fits]
+            near = (row[last] == row[fits]) & (item[last] == item[fits]) & (end - at[fits] <= reach[fits])
+            fits, end = fits[near], end[near]
+            row, item = row[fits], item[fits]
+            lo, hi = np.maximum(end - reach[fits], w.first[row]), np.minimum(at[fits] + reach[fits], w.first[row + 1])
+            cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])]) if len(fits) else fits
+            for a, b in zip(cut, np.r_[cut[1:], len(fits)]):
+                yield int(row[a]), int(item[a]), int(lo[a]), int(hi[b - 1])
 
 
 def _hits(w: tx.Words, size: int, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,80 +137,37 @@ def _hits(w: tx.Words, size: int, bitmap: np.ndarray) -> tuple[np.ndarray, np.nd
     at = np.flatnonzero(bitmap.take((code >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)))
     row = tx.row_of(w.first)
     at = at[row[at] == row[at + size - 1]]
-    return at, code[at].view(np.int64)
-
-
-def _read_bitmap(shared) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
-
-
-def _counter(shared, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, held, some = _read_bitmap(shared), [], 0
-        for batch in batches:
-            for w in tx.words(batch.column(0)):
-                held.append(_hits(w, size, bitmap)[1])
-                some += len(held[-1])
-            if some > 1 << 20:
-                yield _counted(held)
-                held, some = [], 0
-        if some:
-            yield _counted(held)
-
-    return run
+    return at, code[at]
 
 
-def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    value, count = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(value), pa.array(count)], ["gram", "n"])
-
-
-def _passages(shared, size: int, around: int):
+def _aligner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = _read_bitmap(shared)
+        index: Index = shared.value
         for batch in batches:
-            rows, starts, texts, seeds = [], [], [], []
+            rows, items, scores, ends = [], [], [], []
             for w in tx.words(batch.column(2)):
-                at, code = _hits(w, size, bitmap)
-                if not len(at):
-                    continue
-                row = np.searchsorted(w.first, at, "right") - 1
-                lo, hi = np.maximum(at - around, w.first[row]), np.minimum(at + size + around, w.first[row + 1])
-                cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])])  # passages that meet are one
-                for a, b in zip(cut, np.r_[cut[1:], len(at)]):
-                    rows.append(w.lo + row[a])
-                    starts.append(lo[a] - w.first[row[a]])
-                    texts.append(w.code[lo[a] : hi[b - 1]].tobytes())
-                    seeds.append(np.unique(code[a:b]))
-            at = pa.array(np.array(rows, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.array(starts, np.int64)), pa.array(texts, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))], ["id", "key", "start", "codes", "seeds"])
+                for row, i, lo, hi in index.passages(w):
+                    item, passage = index.codes[i], w.code[lo:hi]
+                    if np.isin(item, passage).sum() < index.least * len(item) - 1e-9:  # even if all of them matched
+                        continue
+                    best, at = align(item, passage)
+                    rows.append(w.lo + row)
+                    items.append(i)
+                    scores.append(best / (MATCH * len(item)))
+                    ends.append(lo + at - w.first[row])
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), index.names.take(pa.array(items, pa.int64())), pa.array(scores, pa.float64()), pa.array(ends, pa.int64())], ["id", "key", "item", "score", "end_word"])
 
     return run
 
 
-def _bitmap(spark, grams: DataFrame):
-    """A broadcast bitmap of the n-grams' leading bits; its size is fixed, and more n-grams only make it pass more."""
-    slots = grams.select(F.shiftrightunsigned("gram", 64 - BITMAP_BITS).alias("slot")).distinct().toArrow().column(0).to_numpy()
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    bits[slots] = True
-    return spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-
-
-def _aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        items = np.full(batch.num_rows, None, object)
-        for w in tx.words(batch.column(4)):
-            for i in range(w.hi - w.lo):
-                items[w.lo + i] = w.code[w.first[i] : w.first[i + 1]]
-        score, end = [], []
-        for item, codes, start in zip(items, batch.column(3).to_pylist(), batch.column(2).to_pylist()):
-            best, at = align(item, np.frombuffer(codes, np.uint64))
-            score.append(best / (MATCH * len(item)))
-            end.append(start + at)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), pa.array(score, pa.float64()), pa.array(end, pa.int64())], ["id", "key", "item", "score", "end_word"])
+def _index(items: pa.Table, gram: int, least: float) -> Index:
+    codes = [w.code[w.first[i] : w.first[i + 1]] for w in tx.words(items.column(1)) for i in range(w.hi - w.lo)]
+    long = np.flatnonzero([len(c) >= gram for c in codes])
+    return Index(tx.as_array(items.column(0)).take(pa.array(long, pa.int64())), [codes[i] for i in long], gram, least)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, seed_share: float = SEED_SHARE, min_score: float = MIN_SCORE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, min_score: float = MIN_SCORE) -> DataFrame:
     """(id, key, item, score, end_word): documents that copy a test item, with the best alignment of each pair.
 
     Items and texts with fewer than gram words, null and empty ones included,
@@ -150,26 +177,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("item_text")).where("item_text is not null").distinct().withColumn("item_key", text_key(F.col("item_text")))
-    keyed = items.select(F.struct("item", "item_key").alias("item"), "item_text")
-    kind = keyed.schema["item"].dataType
-    grams = settle(keyed.mapInArrow(_item_grams(gram), T.StructType([T.StructField("item", kind), T.StructField("gram", T.LongType()), T.StructField("words", T.LongType())])))
-    around = int((grams.agg(F.max("words")).first()[0] or 0) * 1.25) + gram
-    counts = rows.select("text").mapInArrow(_counter(_bitmap(spark, grams), gram), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    own = Window.partitionBy("item")
-    seeds = grams.join(counts, "gram", "left").withColumn("rank", F.row_number().over(own.orderBy(F.coalesce("n", F.lit(0)), "gram"))).withColumn("all", F.count("*").over(own))
-    seeds = settle(seeds.where(F.col("rank") <= F.ceil(F.col("all") * seed_share)).where("n is not null").select("item", "gram"))
-
-    place = [T.StructField("id", rows.schema["id"].dataType), T.StructField("key", T.LongType())]
-    found = T.StructType([*place, T.StructField("start", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("seeds", T.ArrayType(T.LongType()))])
-    passages = settle(rows.mapInArrow(_passages(_bitmap(spark, seeds), gram, around), found))
-    pairs = passages.select("id", "key", "start", F.explode("seeds").alias("gram")).join(seeds, "gram").select(F.col("id").alias("p_id"), F.col("key").alias("p_key"), F.col("start").alias("p_start"), "item").distinct()
-    texts = keyed.select(F.col("item").alias("k"), "item_text")
-    both = pairs.join(texts, pairs["item"].eqNullSafe(texts["k"])).drop("k")
-    both = matched(passages.drop("seeds").dropDuplicates(["id", "key", "start"]), both, {"id": "p_id", "key": "p_key", "start": "p_start"}, "inner")
-    out = T.StructType([*place, T.StructField("item", items.schema["item"].dataType), T.StructField("score", T.DoubleType()), T.StructField("end_word", T.LongType())])
-    scored = both.select("id", "key", "start", "codes", "item_text", F.col("item.item").alias("item")).mapInArrow(_aligner, out).where(F.col("score") >= min_score)
-    best = scored.groupBy("id", "key", "item").agg(F.min(F.struct((-F.col("score")).alias("s"), "end_word")).alias("b"))
+    items = settle(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("item_text")).where("item_text is not null").distinct())
+    parts = -(-(items.agg(F.sum(F.length("item_text"))).first()[0] or 0) // ITEM_CHARS) or 1
+    out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("key", T.LongType()), T.StructField("item", items.schema["item"].dataType), T.StructField("score", T.DoubleType()), T.StructField("end_word", T.LongType())])
+    scored = spark.createDataFrame([], out)
+    for part in range(parts):
+        index = _index(items.where(F.pmod(F.xxhash64("item_text"), F.lit(parts)) == part).toArrow(), gram, min_score)
+        if index.codes:
+            scored = scored.union(rows.mapInArrow(_aligner(spark.sparkContext.broadcast(index)), out))
+    best = scored.where(F.col("score") >= min_score).groupBy("id", "key", "item").agg(F.min(F.struct((-F.col("score")).alias("s"), "end_word")).alias("b"))
     return best.select("id", "key", "item", (-F.col("b.s")).alias("score"), F.col("b.end_word").alias("end_word"))
 
 

@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,41 @@ def test_leaks(spark):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) >= 18
 
 
+def edited(rng, words, every, kind):
+    """words with an edit at every so many: one replaced, one put in, or one lost."""
+    out = []
+    for n, w in enumerate(words, 1):
+        out += [w] if n % every else {"replace": ["edit"], "insert": [w, f"edit{rng.randrange(9)}"], "lose": []}[kind]
+    return out
+
+
+def test_heavily_edited_leaks(spark):
+    """Copies with 15 to 50 % of edits, some of them beside an exact one, are those that aligning every pair finds."""
+    rng = random.Random(31)
+    items = [(n, prose(rng, n, 3000)) for n in (4, 5, 6, 9, 20, 30, 45)]
+    docs = [(900 + n, text) for n, text in items[::2]]
+    for n, text in items:
+        for every in (2, 3, 4, 5, 6, 7):
+            for kind in ("replace", "insert", "lose"):
+                docs.append((len(docs), f"{prose(rng, 40, 3000)} {' '.join(edited(rng, text.split(), every, kind))} {prose(rng, 40, 3000)}"))
+    got = {(r["id"], r["item"]): r["score"] for r in decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute.leaked(docs, items, decontaminate.MIN_SCORE)
+    assert got == pytest.approx(want) and sum(s < 0.8 for s in want.values()) > 30
+
+
+def test_items_in_parts(spark, monkeypatch):
+    rng = random.Random(32)
+    items = [(n, prose(rng, 12, 300)) for n in range(20)]
+    docs = spark.createDataFrame([(n, f"{prose(rng, 9)} {t} {prose(rng, 9)}") for n, t in items], DOCS)
+    monkeypatch.setattr(decontaminate, "ITEM_CHARS", 400)
+    assert {(r["id"], r["item"], r["score"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()} >= {(n, n, 1.0) for n in range(20)}
+    index = decontaminate._index(pa.table({"item": [n for n, _ in items], "text": [t for _, t in items]}), 3, 0.6)
+    (w,) = tx.words(pa.array([prose(rng, 200, 300), "", *(t for _, t in items)]))
+    want = [np.concatenate(x) for x in zip(*index.hits(w))]
+    monkeypatch.setattr(decontaminate, "HITS_AT_ONCE", 5)
+    assert len(list(index.hits(w))) > 1 and all((np.concatenate(x) == y).all() for x, y in zip(zip(*index.hits(w)), want))
+
+
 def test_align():
     rng = np.random.default_rng(2)
     for _ in range(60):
