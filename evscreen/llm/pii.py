@@ -13,6 +13,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import hmac
+import math
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -51,9 +52,7 @@ class Feistel:
             raise ValueError("value outside its domain")
         if n < 2:
             return value
-        a = int(np.ceil(np.sqrt(float(n))))
-        while a * a < n:
-            a += 1
+        a = math.isqrt(n - 1) + 1
         while True:  # cycle walking: a * a exceeds n by less than 2 * a + 1
             left, right = divmod(value, a)
             if back:
@@ -184,7 +183,7 @@ def _by_class(f: Feistel, name: str, s: str, back: bool, classes: tuple[str, ...
             value, n = value * len(kind) + kind.index(c), n * len(kind)
     if n < 2:
         return s
-    if n.bit_length() > 900:  # longer values in parts, so that floats hold the root
+    if n.bit_length() > 900:  # longer values in parts
         half = len(s) // 2
         return _by_class(f, name + "<", s[:half], back, classes) + _by_class(f, name + ">", s[half:], back, classes)
     shape = "".join("-" if k is None else str(classes.index(k)) for k in kinds)

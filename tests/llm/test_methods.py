@@ -366,6 +366,29 @@ def test_pseudonyms_keep_their_format_and_come_back(value):
     assert back.apply(new)[0] == text
 
 
+def test_long_values_end_and_come_back():
+    """Tokens and mail names of any length: each shape of letters and digits, within a minute in all."""
+    import signal
+
+    def late(*_):
+        raise TimeoutError("a pseudonym took too long")
+
+    there, back, rng = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", back=True), random.Random(41)
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(60)
+    try:
+        for size in (*range(30, 70), 128, 200, 400):
+            for figures in range(0, size + 1, 1 if size in (48, 64) else 8):
+                own = [rng.choice("0123456789") for _ in range(figures)] + [rng.choice("abcdef") for _ in range(size - figures)]
+                rng.shuffle(own)
+                for text in (f"token={''.join(own)}", f"{''.join(own)}@example.org"):
+                    new, counts = there.apply(text)
+                    assert counts and new != text and len(new) == len(text) and back.apply(new)[0] == text
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def test_most_values_are_known():
     assert sum(bool(pii.Pseudonyms(b"key").apply(f"x {v} y")[1]) for v in VALUES) >= len(VALUES) - 1
 
