@@ -319,6 +319,16 @@ def test_recall_of_pairs():
     assert len(pairs) > 50 and np.mean([(values[i] == values[j]).any() for i, j in pairs]) > 0.9
 
 
+@pytest.mark.parametrize("apart", [64, 96, 112, 128, simhash.MAX_DISTANCE])
+def test_recall_at_a_distance(apart):
+    """Of pairs exactly so many bits apart, over 0.9 share a block: the farthest that count as copies too."""
+    rng, bits = np.random.default_rng(51), simhash.BLOCKS * simhash.BLOCK_BITS
+    one = rng.integers(0, 2, (1500, bits), dtype=np.uint8)
+    flip = np.argsort(rng.random(one.shape), axis=1) < apart
+    x, y = (simhash.block_values(np.packbits(v, axis=1), simhash.BLOCKS, simhash.BLOCK_BITS) for v in (one, one ^ flip))
+    assert (x == y).any(axis=1).mean() > 0.9
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
