@@ -3,14 +3,15 @@
 Blocks (lines) with a word of licensing are candidates. Each is compressed
 alone and with every template as a zstandard raw dictionary; templates are
 ranked by how much smaller that makes the block. The best ones are confirmed
-by exact wording: enough of the block's and the template's words must agree in
-order, and the words that differ are reported. Words that tell licenses apart
+by exact wording: wherever the notice stands in the block, enough of the words
+there and of the template must agree in order, and the words that differ are
+reported. Words that tell licenses apart
 (names and version numbers) must agree exactly.
 """
 
 from __future__ import annotations
 
-import difflib
+import math
 import re
 from collections.abc import Iterator
 
@@ -72,6 +73,31 @@ class Scanner:
         alone = len(self.plain.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / alone, i) for i, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
 
+    def place(self, i: int, own: list[str]) -> tuple[int, list[str]] | None:
+        """(words that agree in order, the words they stand among): where a block's words agree best with template i, the first if there are several."""
+        words, telling, n = self.words[i], self.telling[i], len(self.words[i])
+        if not telling.issubset(own):
+            return None
+        most, least = int(n / MIN_AGREEMENT + 1e-9), math.ceil(n * MIN_AGREEMENT - 1e-9)
+        shared = np.fromiter(map(set(words).__contains__, own), bool, len(own))
+        total, at = np.r_[0, np.cumsum(shared)], np.arange(len(own))
+        best = None
+        for first in np.flatnonzero(shared & (total[np.minimum(at + most, len(own))] - total[:-1] >= least)).tolist():
+            row, seen = [0] * (n + 1), set()
+            for last in range(first, min(first + most, len(own))):
+                w, now = own[last], [0]
+                if _TELLING.search(w):
+                    if w not in telling:
+                        break
+                    seen.add(w)
+                for j, known in enumerate(words):
+                    now.append(row[j] + 1 if known == w else max(now[j], row[j + 1]))
+                row = now
+                agreement = row[n] / max(n, last + 1 - first)
+                if agreement >= MIN_AGREEMENT and seen == telling and (best is None or agreement > best[0]):
+                    best = agreement, row[n], own[first : last + 1]
+        return best and best[1:]
+
     def scan(self, block: str) -> tuple | None:
         """(license, reduction, agreement, missing words, added words) of the first winner that its wording confirms."""
         if block not in self.found:
@@ -86,12 +112,10 @@ class Scanner:
         for reduction, i in self.reductions(block)[:WINNERS]:
             if reduction < MIN_REDUCTION:
                 break
-            same = difflib.SequenceMatcher(None, self.words[i], own, autojunk=False).get_matching_blocks()
-            agreed = sum(m.size for m in same)
-            first, last = same[0].b, max(m.b + m.size for m in same)
-            span = own[first:last]  # the notice may stand within a longer line
-            if agreed / max(len(self.words[i]), len(span), 1) < MIN_AGREEMENT or {w for w in span if _TELLING.search(w)} != self.telling[i]:
+            found = self.place(i, own)  # the notice may stand within a longer line
+            if not found:
                 continue
+            agreed, span = found
             a, b = [w for w in self.words[i]], list(span)
             missing, added = [w for w in a if w not in b], [w for w in b if w not in a]
             confirmed.append((len(missing) + len(added), -reduction, i, reduction, agreed / max(len(a), len(b)), missing, added))

@@ -247,6 +247,20 @@ def test_differences_are_told(spark):
     assert row["license"] == "MIT" and row["added"] == ["fine"] and row["missing"] == [] and 0 < row["reduction"] < 1
 
 
+def test_notices_within_a_longer_line(spark):
+    """Words after a notice, before it and on both sides; names and numbers outside of it don't count."""
+    docs = [
+        (1, 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+        (2, "Notes: Released under the ISC License. See section 7 for what the BSD people say."),
+        (3, "Released under the GNU GPL v3. Copies of it are sent on request to all who ask for them by mail."),
+        (4, "Acme 2. Licensed under CC BY-SA 4.0. Version 1.2 of 2021."),
+        (5, "This work is licensed under the GNU Lesser General Public License, version 3. Ask for more in room 12."),
+        (6, "Released under a license. It isn't the MIT one."),
+    ]
+    got = {r["id"]: (r["license"], r["agreement"], r["missing"], r["added"]) for r in licenses.scan(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {i: (name, 1.0, [], []) for i, name in enumerate(["Apache-2.0", "ISC", "GPL-3.0", "CC-BY-SA-4.0", "LGPL-3.0"], 1)}
+
+
 def test_reductions_rank_the_template_itself_first():
     s = licenses.Scanner(licenses.TEMPLATES)
     for i, (_, _, t) in enumerate(s.known):
