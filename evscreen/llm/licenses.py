@@ -2,8 +2,8 @@
 
 Blocks (lines) with a word of licensing are candidates. Each is compressed
 alone and with every template as a zstandard raw dictionary; templates are
-ranked by how much smaller that makes the block. The best ones are confirmed
-by exact wording: wherever the notice stands in the block, enough of the words
+ranked by how much smaller that makes the block. Each is confirmed, whatever
+its rank (in a long block a notice saves little), by exact wording: wherever the notice stands in the block, enough of the words
 there and of the template must agree in order, and the words that differ are
 reported. Words that tell licenses apart
 (names and version numbers) must agree exactly.
@@ -45,9 +45,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Proprietary": ("All rights reserved.", "Copyright {year} {holder}. All rights reserved."),
 }
 CANDIDATE = "licen[cs]|copyright|all rights|public domain|spdx|creative commons|unencumbered|gpl|gnu|cc0|cc by"
-#: Templates that are confirmed per block, at most; the best by reduction come first, and one is confirmed or none.
-WINNERS = 3
-MIN_REDUCTION, MIN_AGREEMENT = 0.2, 0.8
+MIN_AGREEMENT = 0.8
 _WORDS = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _TELLING = re.compile(r"\d|^(mit|apache|gnu|gpl|lgpl|lesser|bsd|mozilla|isc|cc|cc0|by(-\w+)*|two|three|attribution(-\w+)*|unencumbered|v\d)$|clause")
 
@@ -99,7 +97,7 @@ class Scanner:
         return best and best[1:]
 
     def scan(self, block: str) -> tuple | None:
-        """(license, reduction, agreement, missing words, added words) of the first winner that its wording confirms."""
+        """(license, reduction, agreement, missing words, added words) of the best template that its wording confirms."""
         if block not in self.found:
             if len(self.found) > 10_000:
                 self.found.clear()
@@ -109,9 +107,7 @@ class Scanner:
     def _scan(self, block: str) -> tuple | None:
         own = wording(block)
         confirmed = []
-        for reduction, i in self.reductions(block)[:WINNERS]:
-            if reduction < MIN_REDUCTION:
-                break
+        for reduction, i in self.reductions(block):
             found = self.place(i, own)  # the notice may stand within a longer line
             if not found:
                 continue
@@ -151,7 +147,7 @@ def _scan(templates: dict[str, tuple[str, ...]]):
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(id, key, block, license, reduction, agreement, missing, added): each block (line, from 0) that gives a license.
 
-    A block gives one license at most: of the confirmed winners the one with
+    A block gives one license at most: of the confirmed templates the one with
     the fewest differing words, then the largest reduction, then the first in
     TEMPLATES. Null and empty texts give none. Rows with equal id and text are
     one document. An empty table gives an empty result; other columns are

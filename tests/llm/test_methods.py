@@ -261,6 +261,15 @@ def test_notices_within_a_longer_line(spark):
     assert got == {i: (name, 1.0, [], []) for i, name in enumerate(["Apache-2.0", "ISC", "GPL-3.0", "CC-BY-SA-4.0", "LGPL-3.0"], 1)}
 
 
+@pytest.mark.parametrize("before", [4, 8, 12, 24, 40, 80, 2000])
+def test_notices_at_the_end_of_long_lines(before):
+    rng, scanner = random.Random(71), licenses.Scanner(licenses.TEMPLATES)
+    for name, _, t in scanner.known:
+        if "{" not in t:
+            found = scanner.scan(f"{prose(rng, before)} {t}")
+            assert found and (found[0], *found[2:]) == (name, 1.0, [], [])
+
+
 def test_reductions_rank_the_template_itself_first():
     s = licenses.Scanner(licenses.TEMPLATES)
     for i, (_, _, t) in enumerate(s.known):
