@@ -352,6 +352,20 @@ def test_recall_at_a_distance(apart):
     assert (x == y).any(axis=1).mean() > 0.9
 
 
+def test_long_unrelated_texts_stay(spark):
+    """Texts of 300,000 words of one vocabulary are near in words, but no copies; edited copies of them are."""
+    rng = np.random.default_rng(61)
+    share = 1 / np.arange(10, 20_010)
+    texts = [rng.choice(20_000, 300_000, p=share / share.sum()) for _ in range(3)]
+    copy = texts[0].copy()
+    copy[rng.random(len(copy)) < 0.05] = 20_001
+    docs = [(i, " ".join(f"w{x}" for x in t)) for i, t in enumerate([*texts, copy])]
+    one, two = (brute.fingerprint(t, simhash.BLOCKS * simhash.BLOCK_BITS) for _, t in docs[:2])
+    assert np.bitwise_count(one ^ two).sum() <= simhash.MAX_DISTANCE
+    got = {r["id"]: r["kept_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {3: 0}
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
