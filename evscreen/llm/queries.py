@@ -90,7 +90,7 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(1, many + 1))::INTEGER
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
 ), scored AS (
-  SELECT a.vec_id, b.vec_id AS neighbor, round(list_dot_product(a.e, b.e) / (a.size * b.size), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  SELECT a.vec_id, b.vec_id AS neighbor, round(list_dot_product(a.e, b.e) / (a.size * b.size), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {topk.EVERY} = 0
 )
 SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor)::INTEGER AS rank, neighbor, score FROM scored QUALIFY rank <= 10""",
     "op5_repeated_passages": f"""

@@ -1,7 +1,8 @@
 """Exact top-k search by distributed histogram selection.
 
-Scores are cosine similarities, rounded to SCALE parts. Vectors are packed
-into blocks; every query block is scored against every corpus block. A pass
+Scores are cosine similarities, rounded to SCALE parts. Queries are the rows
+whose id is divisible by EVERY, or all rows. Vectors are packed into blocks;
+every query block is scored against every corpus block. A pass
 counts each query's scores in BINS bins of its open range (BINS**4 values at first); the summed counts
 locate the bin of its kth best score, which becomes the open range of the next
 pass. The last pass keeps the scores from the located value on and breaks ties
@@ -23,6 +24,8 @@ from .shared import settle
 SCALE = 10**9
 BINS = 256
 BLOCK_ROWS = 2048
+#: Rows with ids divisible by it are queries.
+EVERY = 50
 #: A query is located once at most this many times k scores lie at or above its value.
 SLACK = 4
 _STATE = "block long, low binary, width long, need binary, open boolean"
@@ -163,43 +166,51 @@ def _keep(dimension: int, k: int):
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, rank, neighbor, score): the k most similar other vectors of each vector, by descending score, then id.
+def _blocks(rows: DataFrame, dimension: int) -> DataFrame:
+    """(block, ids, x): rows (n, h, v) in written blocks of about BLOCK_ROWS."""
+    number = -(-rows.count() // BLOCK_ROWS)
+    if not number:
+        return rows.sparkSession.createDataFrame([], "block long, ids binary, x binary")
+    return settle(rows.withColumn("block", F.pmod(F.xxhash64("n", "h"), F.lit(number))).groupBy("block").applyInArrow(_packed(dimension), "block long, ids binary, x binary"))
+
 
-    Every row is a query. Vectors that are null, empty, all zero, hold a null
+def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY) -> DataFrame:
+    """(id, rank, neighbor, score): the k most similar other vectors of each query, by descending score, then id.
+
+    Queries are the rows whose id is divisible by every (all rows with 1);
+    each is held against all rows. Ids must be of an integer type, others
+    raise TypeError. Vectors that are null, empty, all zero, hold a null
     or NaN or infinity, or differ in length from the most frequent length (the
     shortest of those that tie) are left out, and so are null ids. Of rows
     with the same id the vector of least hash counts. With fewer than k others, there are fewer ranks.
     An empty table gives an empty result; other columns are ignored.
     """
-    if k < 1:
-        raise ValueError("k must be positive")
+    if k < 1 or every < 1:
+        raise ValueError("k and every must be positive")
+    if not isinstance(vectors.schema[id_col].dataType, T.IntegralType):
+        raise TypeError("ids must be integers")
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("n"), F.col(vector_col).cast("array<double>").alias("v")).where("n is not null and size(v) > 0")
     rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)).withColumn("h", F.xxhash64("v"))
     rows = rows.groupBy("n").agg(F.min(F.struct("h", "v")).alias("least")).select("n", "least.h", "least.v")
     modal = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = vectors.sparkSession.createDataFrame([], "id long, rank int, neighbor long, score double")
+    empty = spark.createDataFrame([], "id long, rank int, neighbor long, score double")
     if modal is None:
         return empty
     d = modal["d"]
-    rows = rows.where(F.size("v") == d)
-    number = -(-rows.count() // BLOCK_ROWS)
-    kind = "block long, ids binary, x binary"
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("n", "h"), F.lit(number)))
-    blocks = settle(blocks.groupBy("block").applyInArrow(_packed(d), kind))
+    rows = settle(rows.where(F.size("v") == d))
+    corpus = _blocks(rows, d)
+    blocks = corpus if every == 1 else _blocks(rows.where(F.pmod("n", F.lit(every)) == 0), d)
     state = settle(blocks.select("block", "ids").mapInArrow(_start(k), _STATE))
-    corpus = blocks.select(F.col("ids").alias("cids"), F.col("x").alias("cx"))
-    lanes = max(1, min(number, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    corpus = corpus.repartition(lanes)
-    while True:
+    lanes = max(1, min(corpus.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    corpus = corpus.select(F.col("ids").alias("cids"), F.col("x").alias("cx")).repartition(lanes)
+    while not state.where("open").isEmpty():
         tiles = blocks.join(state.where("open"), "block").crossJoin(corpus)
         counted = tiles.select("block", "ids", "x", "low", "width", "cids", "cx").mapInArrow(_count(d), "block long, counts binary")
         sized = counted.join(blocks.select("block", (F.length("ids") / 8).cast("long").alias("rows")), "block")
         summed = sized.select("block", "counts", "rows").repartition("block").sortWithinPartitions("block").mapInArrow(_sum, "block long, counts binary")
         opened = state.where("open").drop("open").join(summed, "block").mapInArrow(_refine(k), _STATE)
         state = settle(opened.union(state.where("not open")))
-        if state.where("open").isEmpty():
-            break
     tiles = blocks.join(state, "block").crossJoin(corpus)
     kept = tiles.select("block", "ids", "x", "low", "cids", "cx").mapInArrow(_keep(d, k), "q long, c long, s long")
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c")))

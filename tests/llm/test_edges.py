@@ -128,9 +128,11 @@ def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 2.0], 1), (3, [0.0, 2.0], 1), (4, None, 1), (5, [], 1), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1), (8, [inf, 1.0], 1), (9, [1.0, None], 1), (10, [1.0, 2.0, 3.0], 1), (None, [1.0, 1.0], 1), (11, [-1.0, 0.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int").withColumns({c: F.lit(0) for c in ("n", "v", "block", "rank", "s")})
-    got = sorted((r["id"], r["rank"], r["neighbor"], r["score"]) for r in topk.top_k(df, 2).collect())
+    got = sorted((r["id"], r["rank"], r["neighbor"], r["score"]) for r in topk.top_k(df, 2, every=1).collect())
     assert got == [(1, 1, 2, 1.0), (1, 2, 3, 0.0), (2, 1, 1, 1.0), (2, 2, 3, 0.0), (3, 1, 1, 0.0), (3, 2, 2, 0.0), (11, 1, 3, 0.0), (11, 2, 1, -1.0)]
-    assert topk.top_k(df.limit(0)).isEmpty() and topk.top_k(df.where("vec_id = 1")).isEmpty()
+    assert topk.top_k(df.limit(0)).isEmpty() and topk.top_k(df.where("vec_id = 1"), every=1).isEmpty() and topk.top_k(df).isEmpty()
+    with pytest.raises(TypeError):
+        topk.top_k(df.withColumn("vec_id", F.lit("v1")))
     with pytest.raises(ValueError):
         topk.top_k(df, 0)
 
