@@ -52,6 +52,11 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text, F.lit(7))
 
 
+def valid(text: Column) -> Column:
+    """As a string; bytes that aren't UTF-8 become U+FFFD."""
+    return F.make_valid_utf8(text.cast("string"))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, near the given ones."""
     taken = {c.lower() for c in df.columns}

@@ -41,8 +41,26 @@ def deduplicated(docs, threshold):
     return out
 
 
-def fingerprint(text, bits):
-    return np.frombuffer(simhash.fingerprint_words(tx.hash_words(tx.plain_words(text)), bits), np.uint8)
+def features(text):
+    return {int(c) % simhash.FEATURES for c in tx.hash_words(tx.plain_words(text))}
+
+
+def corpus_weights(texts):
+    """By counting, text by text."""
+    texts = [t for t in texts if tx.plain_words(t)]
+    found = np.zeros(simhash.FEATURES, np.int64)
+    for t in texts:
+        for f in features(t):
+            found[f] += 1
+    return np.array([max(1, round(math.log2((1 + len(texts)) / (1 + n)))) for n in found], np.uint8)
+
+
+def fingerprint(text, bits, weight=None):
+    """Bit by bit: the sign of the sum of the weights, with the projection's sign."""
+    ones = np.zeros(bits)
+    for f in features(text):
+        ones += (1 if weight is None else int(weight[f])) * (2.0 * simhash._projection(bits)[f] - 1)
+    return np.packbits(ones > 0)
 
 
 def meet(x, y, blocks, width):
@@ -52,7 +70,8 @@ def meet(x, y, blocks, width):
 
 def copies(docs, bits, most, meets=lambda x, y: True):
     """{id: kept id} of the components of all pairs within most bits that meet."""
-    rows = [(i, fingerprint(t, bits)) for i, t in docs if tx.plain_words(t)]
+    weight = corpus_weights([t for _, t in docs])
+    rows = [(i, fingerprint(t, bits, weight)) for i, t in docs if tx.plain_words(t)]
     root = {i: i for i, _ in rows}
 
     def find(i):

@@ -338,13 +338,14 @@ def test_recall_of_pairs():
     import pyarrow.parquet as pq
 
     texts = list(dict.fromkeys(pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()))
-    prints = np.array([brute.fingerprint(t, simhash.BLOCKS * simhash.BLOCK_BITS) for t in texts if tx.plain_words(t)])
+    weight = brute.corpus_weights(texts)
+    prints = np.array([brute.fingerprint(t, simhash.BLOCKS * simhash.BLOCK_BITS, weight) for t in texts if tx.plain_words(t)])
     pairs = [(i, i + 1 + j) for i in range(len(prints)) for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(axis=1, dtype=np.int64) <= simhash.MAX_DISTANCE)]
     values = simhash.block_values(prints, simhash.BLOCKS, simhash.BLOCK_BITS)
     assert len(pairs) > 50 and np.mean([(values[i] == values[j]).any() for i, j in pairs]) > 0.9
 
 
-@pytest.mark.parametrize("apart", [64, 96, 112, 128, simhash.MAX_DISTANCE])
+@pytest.mark.parametrize("apart", [64, 96, 112, 128, 140, simhash.MAX_DISTANCE])
 def test_recall_at_a_distance(apart):
     """Of pairs exactly so many bits apart, over 0.9 share a block: the farthest that count as copies too."""
     rng, bits = np.random.default_rng(51), simhash.BLOCKS * simhash.BLOCK_BITS
@@ -352,6 +353,29 @@ def test_recall_at_a_distance(apart):
     flip = np.argsort(rng.random(one.shape), axis=1) < apart
     x, y = (simhash.block_values(np.packbits(v, axis=1), simhash.BLOCKS, simhash.BLOCK_BITS) for v in (one, one ^ flip))
     assert (x == y).any(axis=1).mean() > 0.9
+    sketches = np.bitwise_count(np.packbits(flip[:, : simhash.SKETCH], axis=1)).sum(axis=1)
+    assert (sketches <= simhash.SKETCH_LIMIT).all()
+
+
+def test_weights_are_counted(spark):
+    texts = [t for _, t in near_copies(random.Random(5), 30)] + ["", None, "!?"]
+    assert (simhash.corpus_weights(spark.createDataFrame(list(enumerate(texts)), DOCS)) == brute.corpus_weights(texts)).all()
+
+
+@pytest.mark.parametrize("few, chunk", [(1, 4), (2, 8), (8, 4096)])
+def test_crowded_blocks_lose_no_link(spark, monkeypatch, few, chunk):
+    """A chain of texts that lie in the same blocks: every pair that meets is linked, however blocks are cut."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = random.Random(44)
+    words, docs = prose(rng, 150, 5000).split(), []
+    for i in range(60):
+        words[rng.randrange(150)] = f"new{i}"
+        docs.append((i, " ".join(words)))
+    docs += [(100 + i, prose(rng, 80, 5000)) for i in range(20)] + [(200 + i, docs[7][1]) for i in range(40)]
+    got = {r["id"]: r["kept_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
+    want = brute.copies(docs, simhash.BLOCKS * simhash.BLOCK_BITS, simhash.MAX_DISTANCE, lambda x, y: brute.meet(x, y, simhash.BLOCKS, simhash.BLOCK_BITS))
+    assert got == want and len(want) > 80
 
 
 def test_long_unrelated_texts_stay(spark):
@@ -362,7 +386,8 @@ def test_long_unrelated_texts_stay(spark):
     copy = texts[0].copy()
     copy[rng.random(len(copy)) < 0.05] = 20_001
     docs = [(i, " ".join(f"w{x}" for x in t)) for i, t in enumerate([*texts, copy])]
-    one, two = (brute.fingerprint(t, simhash.BLOCKS * simhash.BLOCK_BITS) for _, t in docs[:2])
+    weight = brute.corpus_weights([t for _, t in docs])
+    one, two = (brute.fingerprint(t, simhash.BLOCKS * simhash.BLOCK_BITS, weight) for _, t in docs[:2])
     assert np.bitwise_count(one ^ two).sum() <= simhash.MAX_DISTANCE
     got = {r["id"]: r["kept_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
     assert got == {3: 0}
