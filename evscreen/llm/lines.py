@@ -2,19 +2,25 @@
 
 A line is the set of its words. Two lines match if the Jaccard similarity of
 their sets is at least threshold. A line goes if any earlier line of the
-corpus, in the order of (id, line number), matches it.
+corpus, in the order of (id, line number), matches it. (Words are told apart
+by codes of 39 bits in a line's set and by 64 bits where a match is verified.)
 
 Words are ordered by rarity (counts over the whole corpus, in a table of fixed
 size; ties by hash), so two matching lines share a word among the first
-n - ceil(threshold * n) + 1 of each. Lines meet on these prefix words; pairs
-pass the length filter, the positional filter and a parity filter (the Hamming
-distance of 64-bit parities of two sets never exceeds their symmetric
-difference). No filter drops a match. Equal sets are one row in the join, so
-lines repeated millions of times are cheap. The candidates of a set are
-verified on their words from the earliest line on until one holds, in rounds
-that take four times as many; so the earliest match is found without the
-words of all pairs. Lines to verify are fetched by a scan that a bitmap of
-fixed size thins out before an exact join.
+n - ceil(threshold * n) + 1 of each. Lines meet in the lists of these prefix
+words; pairs pass the length filter, the positional filter and a parity filter
+(the Hamming distance of 64-bit parities of two sets never exceeds their
+symmetric difference). No filter drops a match. Equal sets are one row in the
+join, so lines repeated millions of times are cheap, and sets too small to be
+near any other aren't in it.
+
+A first pass over the lists keeps the sets that have a partner at all. A second
+one has their lists in the order of the corpus and emits for each set its
+earliest candidate, so a group of m near copies gives m pairs. These are
+verified on their words; only where a candidate fails do the later ones of its
+list follow, for that set. Lists over CHUNK rows are cut into chunks, each held
+against each, so that a frequent word isn't one task. Lines to verify are
+fetched by a scan that a bitmap of fixed size thins out before an exact join.
 """
 
 from __future__ import annotations
@@ -24,12 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import bitmap, bucketed, drop_tables, fresh, in_bitmap, matched, settle, text_key
+from .shared import bitmap, fresh, in_bitmap, matched, settle, text_key, valid
 
 THRESHOLD = 0.85
 #: Size of the table of word counts (the counts of words that share an entry are added; any order is exact).
@@ -39,6 +45,8 @@ WANTED_BITS = 26
 _LINES = 17  # bits of a line's number in a sort key
 _CODE = 39  # bits of a word's code in a sort key
 _CHUNK = 1 << 21  # pairs compared at once
+#: Rows of a word's list that one task holds, at most twice as many; and of lists whose pairs are formed at once.
+CHUNK, SHORT = 1 << 13, 256
 
 
 def needed(x, y, threshold: float):
@@ -108,7 +116,7 @@ def _prefixes(rarity, threshold: float):
                     sets = _set_code(first, code)
                     parity = np.bitwise_xor.reduceat(np.uint64(1) << (tx.mix(code) >> np.uint64(58)), first).view(np.int64)
                     _, keep = np.unique(sets, return_index=True)
-                    keep = keep[~np.isin(sets[keep], seen)]
+                    keep = keep[~np.isin(sets[keep], seen) & (size[keep] >= threshold * (size[keep] + 1) - 1e-9)]  # smaller ones match equal sets only
                     seen = np.union1d(seen, sets[keep])
                     if len(seen) > 1 << 20:  # repeats beyond this are collapsed where the words meet
                         seen = np.zeros(0, np.int64)
@@ -120,49 +128,150 @@ def _prefixes(rarity, threshold: float):
     return run
 
 
-def similar_sets(word: np.ndarray, s: np.ndarray, sizes: np.ndarray, parity: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs of set codes that share a word and pass the filters, each once."""
+def _candidates(i: np.ndarray, j: np.ndarray, n: np.ndarray, place: np.ndarray, parity: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of rows pass the filters of length, parity and position."""
+    both, least = n[i] + n[j], needed(n[i], n[j], threshold)
+    good = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
+    good &= np.bitwise_count(parity[i] ^ parity[j]) <= both - 2 * least
+    return good & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
+
+
+def _pairs(start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) with start[i] <= j < stop[i], some millions at a time."""
+    many = np.maximum(stop - start, 0)
+    total, lo = np.cumsum(many), 0
+    while lo < len(many):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _CHUNK, "right")))
+        own = many[lo:hi]
+        i = np.repeat(np.arange(lo, hi), own)
+        yield i, start[i] + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        lo = hi
+
+
+def partnered(word: np.ndarray, s: np.ndarray, sizes: np.ndarray, parity: np.ndarray, threshold: float) -> np.ndarray:
+    """The rows, each set of a word once, of sets that have a candidate in the word's list."""
     order = np.lexsort((s, word))
     order = order[np.r_[True, (word[order][1:] != word[order][:-1]) | (s[order][1:] != s[order][:-1])]] if len(order) else order
-    word, s, n, place, parity = word[order], s[order], sizes[order] >> 24, sizes[order] & 0xFFFFFF, parity[order].view(np.uint64)
+    word, n, place, parity = word[order], sizes[order] >> 24, sizes[order] & 0xFFFFFF, parity[order].view(np.uint64)
     rank = np.cumsum(np.r_[False, word[1:] != word[:-1]]) if len(word) else word
-    order = np.lexsort((n, rank))
-    s, n, place, parity, rank = s[order], n[order], place[order], parity[order], rank[order]
-    key = (rank << 24) | n
-    last = np.searchsorted(key, (rank << 24) | np.floor(n / threshold + 1e-9).astype(np.int64), "right")
-    partners = np.maximum(last - np.arange(len(n)) - 1, 0)
-    total = np.cumsum(partners)
-    found = []
-    lo = 0
-    while lo < len(n):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _CHUNK, "right")))
-        many = partners[lo:hi]
-        i = np.repeat(np.arange(lo, hi), many)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-        both = n[i] + n[j]
-        least = needed(n[i], n[j], threshold)
-        good = np.bitwise_count(parity[i] ^ parity[j]) <= both - 2 * least
-        i, j, least = i[good], j[good], least[good]
-        good = 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1 >= least
-        i, j = i[good], j[good]
-        found.append(np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j])], 1))
-        lo = hi
-    found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return np.unique(found, axis=0) if len(found) else found
+    by = np.lexsort((n, rank))
+    n, place, parity, rank = n[by], place[by], parity[by], rank[by]
+    key = (rank << 24) | np.minimum(n, 0xFFFFFF)
+    last = np.searchsorted(key, (rank << 24) | np.minimum(np.floor(n / threshold + 1e-9).astype(np.int64), 0xFFFFFF), "right")
+    some = np.zeros(len(n), bool)
+    for i, j in _pairs(np.arange(len(n)) + 1, last):
+        good = _candidates(i, j, n, place, parity, threshold)
+        some[i[good]] = some[j[good]] = True
+    return np.sort(order[by[some]])
+
+
+_LIST = ["word", "s", "sizes", "parity"]
 
 
 def _meet(threshold: float):
+    """Of rows ordered by word those that partnered finds; lists over CHUNK rows whole."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if whole:
-            table = pa.Table.from_batches(whole)
-            pairs = similar_sets(*(table.column(c).to_numpy() for c in ("word", "s", "sizes", "parity")), threshold)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        held = [np.zeros(0, np.int64)] * 4
+        over = None  # the word whose list is known to be long
+
+        def out(rows: list[np.ndarray], at: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in rows], _LIST)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
+            word = rows[0]
+            cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            size = np.diff(np.r_[cut, len(word)])
+            many = np.repeat(size, size)
+            long, last = many > CHUNK, np.arange(len(word)) >= cut[-1]
+            if over is not None:
+                long |= word == over
+            yield from out(rows, np.flatnonzero(long))
+            now = np.flatnonzero(~long & ~last & (many > 1))
+            yield from out(rows, now[partnered(*(x[now] for x in rows), threshold)])
+            over = int(word[-1]) if long[-1] else None
+            held = [x[last & ~long] for x in rows]
+        yield from out(held, partnered(*held, threshold))
 
     return run
 
 
+def earliest(group: np.ndarray, n: np.ndarray, place: np.ndarray, parity: np.ndarray, threshold: float) -> np.ndarray:
+    """For each row of lists in the order of the corpus the first earlier row of its list that is a candidate; -1 for none."""
+    first = np.full(len(n), len(n))
+    cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[cut, len(n)])
+    stop = np.repeat(np.where(size <= SHORT, cut + size, 0), size)
+    for i, j in _pairs(np.arange(len(n)) + 1, stop):
+        good = _candidates(i, j, n, place, parity, threshold)
+        np.minimum.at(first, j[good], i[good])
+    for a, b in zip(cut[size > SHORT], (cut + size)[size > SHORT]):
+        left = np.arange(a + 1, b)
+        for lo in range(a, b, 64):  # against those that have found none so far
+            hi = min(b, lo + 64)
+            i, j = np.repeat(np.arange(lo, hi), len(left)), np.tile(left, hi - lo)
+            good = (i < j) & _candidates(i, j, n, place, parity, threshold)
+            np.minimum.at(first, j[good], i[good])
+            left = left[(first[left] == len(n)) & (left >= hi)]
+            if not len(left):
+                break
+    return np.where(first < len(n), first, -1)
+
+
+def _by_list(threshold: float, work):
+    """Apply work to whole lists, rows (word, lo, hi, s, sizes, parity, ...) ordered by list and then by corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            group = _group(table)
+            at = int(np.searchsorted(group, group[-1]))
+            yield from work(table.slice(0, at), group[:at], threshold)
+            held = table.slice(at).combine_chunks()
+        if held is not None:
+            yield from work(held, _group(held), threshold)
+
+    return run
+
+
+def _group(table: pa.Table) -> np.ndarray:
+    keys = np.stack([table.column(i).to_numpy() for i in range(3)], 1)
+    return np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(axis=1)])
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    s, sizes, parity = (table.column(c).to_numpy() for c in ("s", "sizes", "parity"))
+    return s, sizes >> 24, sizes & 0xFFFFFF, parity.view(np.uint64)
+
+
+def _first_pairs(table: pa.Table, group: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    s, *filters = _unpacked(table)
+    first = earliest(group, *filters, threshold)
+    at = np.flatnonzero(first >= 0)
+    if len(at):
+        yield pa.RecordBatch.from_arrays([*(pa.array(table.column(i).to_numpy()[at]) for i in range(3)), pa.array(s[at]), pa.array(s[first[at]])], ["word", "lo", "hi", "s", "other"])
+
+
+def _later_pairs(table: pa.Table, group: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """All candidates before the rows that are marked as failed."""
+    s, *filters = _unpacked(table)
+    start = np.searchsorted(group, group)
+    asked = table.column("failed").to_numpy()
+    stop = np.where(asked, np.arange(len(s)), 0)
+    for i, j in _pairs(start, stop):
+        good = _candidates(i, j, *filters, threshold)
+        if good.any():
+            yield pa.RecordBatch.from_arrays([pa.array(s[i[good]]), pa.array(s[j[good]])], ["s", "other"])
+
+
 def _line_code(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return tx.mix(doc.view(np.uint64) + line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -198,26 +307,52 @@ def _wanted_lines(shared):
 
 
 def _fetch(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(s, words): the words' codes of each set of firsts (s, at), from its first line."""
+    """(s, at, words), written: the words' codes of each set of firsts (s, at), from its first line."""
     doc = F.xxhash64(F.col("at.id"), F.col("at.key"))
-    asked = firsts.select("s", doc.alias("doc"), "at.key", "at.line")
+    asked = firsts.select("s", "at", doc.alias("doc"), "at.key", "at.line")
     shared = bitmap(asked.select("doc", "line").mapInArrow(_codes, "code long"), WANTED_BITS)
     found = rows.select(F.xxhash64("id", "key").alias("doc"), "key", "text").mapInArrow(_wanted_lines(shared), "doc long, key long, line long, words array<long>")
-    return found.join(asked, ["doc", "key", "line"]).select("s", "words").dropDuplicates(["s"])
+    out = settle(found.join(asked, ["doc", "key", "line"]).select("s", "at", "words").dropDuplicates(["s"]))
+    shared.destroy()
+    return out
+
+
+def _lists(met: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(word, lo, hi, s, sizes, parity, at), written: lists of words, those over CHUNK rows as pairs of chunks."""
+    rows = met.join(firsts, "s").withColumns({"lo": F.lit(0), "hi": F.lit(0)})
+    chunks = settle(met.groupBy("word").count().where(F.col("count") > CHUNK).select("word", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")))
+    if not chunks.isEmpty():
+        many = F.coalesce("chunks", F.lit(1))
+        rows = rows.join(chunks, "word", "left").withColumn("own", F.pmod(F.xxhash64("s", "word"), many).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), many - 1)))
+        rows = rows.withColumns({"lo": F.least("own", "with"), "hi": F.greatest("own", "with")})
+    return settle(rows.select("word", "lo", "hi", "s", "sizes", "parity", "at"))
+
+
+def _ordered(lists: DataFrame) -> DataFrame:
+    return lists.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi", "at", "s").drop("at")
+
+
+def _true(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(s, other, at), written: the pairs that match, and other's first line."""
+    both = pairs.join(sets.select("s", "words"), "s").join(sets.select(F.col("s").alias("other"), "at", F.col("words").alias("other_words")), "other")
+    both = both.withColumn("overlap", F.size(F.array_intersect("words", "other_words")))
+    return settle(both.where(F.col("overlap") >= threshold * (F.size("words") + F.size("other_words") - F.col("overlap")) - 1e-9).select("s", "other", "at"))
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, key, line, first_id, first_key, first_line): each line that goes, with the earliest line that matches it.
 
     Lines are numbered from 0 and end at line feeds. Lines without words, null
-    and empty texts match nothing. Rows with equal id and text are one
+    and empty texts match nothing; very long ones are read whole. Bytes that
+    aren't UTF-8 count as U+FFFD. Rows with equal id and text are one
     document: their equal lines are the same line. A null id comes before all
-    others. An empty table gives an empty result; other columns are ignored.
+    others. An empty table gives an empty result; other columns are ignored,
+    whatever their names.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), valid(F.col(text_col)).alias("text"))
     place = [T.StructField("id", rows.schema["id"].dataType), T.StructField("key", T.LongType()), T.StructField("line", T.LongType())]
     scanned = settle(rows.mapInArrow(_scan_lines, T.StructType([T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType()), *place, T.StructField("s", T.LongType())])))
     table = scanned.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -225,42 +360,41 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     rarity[table.column("bucket").to_numpy()] = np.minimum(255, 8 * np.log2(table.column("n").to_numpy()))
     shared = spark.sparkContext.broadcast(rarity.tobytes())  # of fixed size
 
-    met = rows.select("text").mapInArrow(_prefixes(shared, threshold), "word long, s long, sizes long, parity long")
-    pairs = settle(met.repartition("word").mapInArrow(_meet(threshold), "a long, b long").distinct())
+    prefixes = rows.select("text").mapInArrow(_prefixes(shared, threshold), "word long, s long, sizes long, parity long")
+    met = settle(prefixes.repartition("word").sortWithinPartitions("word").mapInArrow(_meet(threshold), "word long, s long, sizes long, parity long").distinct())
+    shared.destroy()
 
+    # Sets with a partner, and those of several lines; all others are of no more use.
     lines = scanned.where("s is not null").select("s", F.struct("id", "key", "line").alias("at"))
-    wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
-    firsts = settle(lines.join(wanted, "s", "left_semi").groupBy("s").agg(F.min("at").alias("at")))
-    x, y = firsts.toDF("a", "at_a"), firsts.toDF("b", "at_b")
-    ordered = pairs.join(x, "a").join(y, "b").withColumn("late", F.col("at_a") > F.col("at_b"))
-    ordered = ordered.select(F.when(F.col("late"), F.col("a")).otherwise(F.col("b")).alias("s"), F.when(F.col("late"), F.col("b")).otherwise(F.col("a")).alias("other"), F.least("at_a", "at_b").alias("at"))
-    ranked = settle(ordered.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("at", "other"))))
-    table = bucketed(_fetch(rows, firsts), "s")  # every round joins it twice, and never moves it
-    sets = spark.table(table)
-    best, last = None, 1
-    left = ranked.groupBy("s").agg(F.max("rank").alias("many"))
-    while not left.isEmpty():
-        now = ranked.where(f"rank > {last // 4} and rank <= {last}").join(left.select("s"), "s", "left_semi")
-        now = now.join(sets.toDF("other", "other_words"), "other").join(sets, "s")
-        overlap = F.size(F.array_intersect("words", "other_words"))
-        true = now.withColumn("overlap", overlap).where(F.col("overlap") >= threshold * (F.size("words") + F.size("other_words") - F.col("overlap")) - 1e-9)
-        found = settle(true.groupBy("s").agg(F.min("at").alias("other")))
-        best = found if best is None else best.union(found)
-        left = settle(left.where(f"many > {last}").join(found, "s", "left_anti"))
-        last *= 4
-    drop_tables(spark, table)
-    best = best if best is not None else firsts.toDF("s", "other").limit(0)
-
-    own = lines.withColumn("own", F.min("at").over(Window.partitionBy("s")))
-    found = own.join(best, "s", "left").withColumn("first", F.least("own", "other")).where("at > first")
-    return found.select("at.id", "at.key", "at.line", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.line").alias("first_line")).distinct()
+    asked = met.select("s").distinct().withColumn("asked", F.lit(True))
+    firsts = lines.groupBy("s").agg(F.min("at").alias("at"), F.count("*").alias("n")).join(asked, "s", "left")
+    firsts = settle(firsts.where("asked or n > 1").select("s", "at", F.coalesce("asked", F.lit(False)).alias("asked")))
+    lists = _lists(met, firsts.where("asked").select("s", "at"))
+    kinds = "word long, lo int, hi int, s long, other long"
+    found = settle(_ordered(lists).mapInArrow(_by_list(threshold, _first_pairs), kinds))
+    pairs = found.select("s", "other").distinct()
+    wanted = pairs.select("s").union(pairs.select("other")).distinct()
+    sets = _fetch(rows, firsts.join(wanted, "s", "left_semi").select("s", "at"))
+    true = _true(pairs, sets, threshold)
+    failed = settle(found.join(true, ["s", "other"], "left_anti").select("word", "lo", "hi", "s"))
+    if not failed.isEmpty():
+        again = lists.join(failed.select("word", "lo", "hi").distinct(), ["word", "lo", "hi"], "left_semi").join(failed.withColumn("failed", F.lit(True)), ["word", "lo", "hi", "s"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+        more = settle(_ordered(again.select("word", "lo", "hi", "s", "sizes", "parity", "failed", "at")).mapInArrow(_by_list(threshold, _later_pairs), "s long, other long").distinct())
+        wanted = more.select("s").union(more.select("other")).distinct()
+        true = true.union(_true(more, _fetch(rows, firsts.join(wanted, "s", "left_semi").select("s", "at")), threshold))
+
+    best = true.groupBy("s").agg(F.min("at").alias("other"))
+    heads = firsts.select("s", F.col("at").alias("own")).join(best, "s", "left").select("s", F.least("own", "other").alias("first"))
+    out = lines.join(heads, "s").where("at > first")
+    return out.select("at.id", "at.key", "at.line", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.line").alias("first_line")).distinct()
 
 
 def drop_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, drop_emptied: bool = True, length_col: str | None = None) -> DataFrame:
     """docs without the lines that matches finds.
 
     A document that loses its last word goes, unless drop_emptied is false.
-    Texts that lose no line stay as they are, null and empty ones too.
+    Texts that lose no line stay as they are, null and empty ones too, and
+    very long ones are handled whole.
     length_col, if given, is set to the characters of a text that lost lines.
     The columns are those of docs.
     """
@@ -271,7 +405,7 @@ def drop_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     g = gone.columns
     out = matched(rows, gone, {id_col: g[0], key: g[1]}, "left")
     lost = F.col(g[2]).isNotNull()
-    out = out.withColumn(left, F.when(lost, F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(F.col(g[2]), i)), "\n")).otherwise(F.col(text_col)))
+    out = out.withColumn(left, F.when(lost, F.array_join(F.filter(F.split(valid(F.col(text_col)), "\n", -1), lambda x, i: ~F.array_contains(F.col(g[2]), i)), "\n")).otherwise(F.col(text_col)))
     if drop_emptied:
         out = out.where(~lost | F.lower(left).rlike("[0-9a-z\\x{80}-\\x{10FFFF}]"))
     new = {text_col: F.col(left)} | ({length_col: F.when(lost, F.length(left)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)} if length_col else {})

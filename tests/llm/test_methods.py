@@ -144,6 +144,43 @@ def test_lines(spark, threshold):
     assert kept == set(brute.deduplicated(docs, threshold))
 
 
+@pytest.mark.parametrize("chunk, short", [(4, 2), (8192, 1), (3, 256)])
+def test_lines_in_long_lists(spark, monkeypatch, chunk, short):
+    """Groups of near copies and lines that share their rarest words, in lists that are cut."""
+    monkeypatch.setattr(lines, "CHUNK", chunk)
+    monkeypatch.setattr(lines, "SHORT", short)
+    rng = random.Random(21)
+    docs = []
+    for group in range(4):
+        base = [f"rare{group}", f"rarer{group}", *prose(rng, 22, 60).split()]
+        for i in range(30):
+            own = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                own[rng.randrange(2, 24)] = f"w{rng.randrange(60)}"
+            docs.append((rng.randrange(10**6), " ".join(own)))
+    docs = list(dict(docs).items())
+    assert {(r["id"], r["line"]): (r["first_id"], r["first_line"]) for r in lines.matches(spark.createDataFrame(docs, DOCS)).collect()} == brute.line_matches(docs, lines.THRESHOLD)
+
+
+def test_failed_candidates_are_followed_by_later_ones(spark):
+    """Words that share a parity bit: the filters pass most pairs, and each set still gets its earliest match."""
+    words = [f"w{i}" for i in range(3000) if int(tx.mix(tx.hash_words([f"w{i}"]) >> np.uint64(64 - lines._CODE))[0] >> np.uint64(58)) == 7][:16]
+    rng = random.Random(22)
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(10, 16)))) for i in range(120)]
+    want = brute.line_matches(docs, 0.7)
+    df = spark.createDataFrame(docs, DOCS)
+    assert len(words) == 16 and {(r["id"], r["line"]): (r["first_id"], r["first_line"]) for r in lines.matches(df, threshold=0.7).collect()} == want and len(want) > 40
+
+
+def test_near_copies_give_few_pairs():
+    """Of m sets of which each is near each, m - 1 pairs, not m * (m - 1) / 2."""
+    n, place, parity = np.full(5000, 30), np.zeros(5000, np.int64), np.zeros(5000, np.uint64)
+    for group in (np.zeros(5000, np.int64), np.arange(5000) // 200):
+        first = lines.earliest(group, n, place, parity, 0.85)
+        opens = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        assert (first[opens] == -1).all() and (np.delete(first, opens) == np.delete(np.repeat(opens, np.diff(np.r_[opens, 5000])), opens)).all()
+
+
 # 5 repeated passages
 
 
