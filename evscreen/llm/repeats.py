@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import bucketed, drop_tables, settle, text_key
+from .shared import bucketed, discard, drop_tables, settle, text_key, valid
 
 LENGTH, ANCHOR, HEAD = 50, 20, 8
 BATCHES = 4
@@ -110,6 +110,7 @@ class SuffixFamily:
             out = out.union(more)
         out = settle(out.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places")))
         drop_tables(self.spark, *(name for _, name in self.levels))
+        discard(*self.hits)
         self.levels, self.hits = [], []
         return out
 
@@ -148,22 +149,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a document before, by (id, hash of the text), a null id coming first;
     source_id is the least such document of its runs. Rows with equal id and
     text are one document, and repeats within one document don't count. Null,
-    empty and shorter texts give nothing, as does an empty table; other
-    columns are ignored.
+    empty and shorter texts give nothing, as does an empty table; very long
+    ones are indexed whole, and bytes that aren't UTF-8 count as U+FFFD. Other
+    columns are ignored, whatever their names.
     """
     if not 0 < head < anchor <= length:
         raise ValueError("0 < head < anchor <= length must hold")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc"), valid(F.col(text_col)).alias("text"))
     schema = "batch int, suffix long, key long, place long"
     entries = settle(rows.select(F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int").alias("batch"), "doc", "text").mapInArrow(_suffixes(length, anchor, head), schema))
     family = SuffixFamily(docs.sparkSession)
     for i in range(batches):
         family.add(entries.where(F.col("batch") == i).select("suffix", "key", "place"))
     shared = family.shared().select(F.col("key").alias("doc_"), "places")
+    discard(entries)
     found = rows.join(shared, rows["doc"] == shared["doc_"]).select("id", text_key(F.col("text")).alias("key"), "text", "places")
     runs = found.mapInArrow(_runs(length, anchor), T.StructType([T.StructField("run", T.LongType()), T.StructField("id", rows.schema["id"].dataType), T.StructField("key", T.LongType()), T.StructField("start", T.LongType())]))
-    first = runs.withColumn("source", F.min(F.struct("id", "key")).over(Window.partitionBy("run")))
-    later = first.where(~F.struct("id", "key").eqNullSafe(F.col("source"))).groupBy("id", "key", "start").agg(F.min("source").alias("source"))
+    # Partial minima and a join, which splits hot keys: a passage of millions of documents isn't one task.
+    document = F.struct("id", "key")
+    first = runs.groupBy("run").agg(F.min(document).alias("source"), F.max(document).alias("last")).where(~F.col("source").eqNullSafe(F.col("last"))).drop("last")
+    later = runs.join(first, "run").where(~document.eqNullSafe(F.col("source"))).groupBy("id", "key", "start").agg(F.min("source").alias("source"))
     own = Window.partitionBy("id", "key").orderBy("start")
     opens = F.coalesce(F.col("start") > F.lag("start").over(own) + length, F.lit(True)).cast("int")
     spans = later.withColumn("opens", opens).withColumn("span", F.sum("opens").over(own))

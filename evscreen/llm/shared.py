@@ -12,10 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; where unset, as in tests, a new local one."""
+    """The cluster's shared folder, spark.checkpoint.dir; where unset, as in tests on one machine, a new local one. A cluster without it is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not on_one_machine(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="evscreen-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/evscreen-{uuid.uuid4().hex}"
@@ -30,6 +36,15 @@ def settle(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that nothing needs any more."""
+    for df in tables:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bucketed(df: DataFrame, column: str) -> str:
     """The name of a table of df in the shared folder, bucketed and sorted by column: joins on it don't move it."""
     spark = df.sparkSession
