@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import fresh, matched, settle, text_key
+from .shared import fresh, matched, settle, text_key, valid
 
 GRAM = 3
 MIN_SCORE = 0.6
@@ -171,27 +171,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(id, key, item, score, end_word): documents that copy a test item, with the best alignment of each pair.
 
     Items and texts with fewer than gram words, null and empty ones included,
-    never match. Rows with equal id and text are one document, items with
+    never match; very long ones are scanned whole, and bytes that aren't UTF-8
+    count as U+FFFD. Rows with equal id and text are one document, items with
     equal item_col share one row with their best score. An empty table on
-    either side gives an empty result; other columns are ignored.
+    either side gives an empty result; other columns are ignored, whatever
+    their names. The result is written.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    items = settle(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("item_text")).where("item_text is not null").distinct())
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), valid(F.col(text_col)).alias("text"))
+    items = settle(benchmark.select(F.col(item_col).alias("item"), valid(F.col(item_text_col)).alias("item_text")).where("item_text is not null").distinct())
     parts = -(-(items.agg(F.sum(F.length("item_text"))).first()[0] or 0) // ITEM_CHARS) or 1
     out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("key", T.LongType()), T.StructField("item", items.schema["item"].dataType), T.StructField("score", T.DoubleType()), T.StructField("end_word", T.LongType())])
-    scored = spark.createDataFrame([], out)
+    scored, given = spark.createDataFrame([], out), []
     for part in range(parts):
         index = _index(items.where(F.pmod(F.xxhash64("item_text"), F.lit(parts)) == part).toArrow(), gram, min_score)
         if index.codes:
-            scored = scored.union(rows.mapInArrow(_aligner(spark.sparkContext.broadcast(index)), out))
+            given.append(spark.sparkContext.broadcast(index))  # about ITEM_CHARS characters, whatever the benchmark
+            scored = scored.union(rows.mapInArrow(_aligner(given[-1]), out))
     best = scored.where(F.col("score") >= min_score).groupBy("id", "key", "item").agg(F.min(F.struct((-F.col("score")).alias("s"), "end_word")).alias("b"))
-    return best.select("id", "key", "item", (-F.col("b.s")).alias("score"), F.col("b.end_word").alias("end_word"))
+    found = settle(best.select("id", "key", "item", (-F.col("b.s")).alias("score"), F.col("b.end_word").alias("end_word")))
+    for index in given:
+        index.destroy()
+    return found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the documents that leaks finds; the columns are those of docs, and rows without text stay."""
-    gone = settle(leaks(docs, benchmark, id_col, text_col, **options).select("id", "key").distinct())
+    gone = leaks(docs, benchmark, id_col, text_col, **options).select("id", "key").distinct()
     key = fresh(docs, "row_key")[0]
     rows = docs.withColumn(key, text_key(F.col(text_col)))
     gone = gone.toDF(*fresh(rows, "gone_id", "gone_key"))

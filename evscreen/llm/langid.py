@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import fresh
+from .shared import fresh, valid
 
 DIMENSIONS = 1 << 14
 #: Labelled rows that the model is fitted on, at most; of these every fifth calibrates.
@@ -47,7 +47,9 @@ def _counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         for at in range(lo, hi, 64):
             to = min(hi, at + 64)
             chars, own = _letters(data[bounds[at] : bounds[to]]), length[at:to]
-            row = np.repeat(np.arange(to - at), own) if own.sum() == len(chars) else np.zeros(len(chars), np.int64)
+            if own.sum() != len(chars):
+                raise ValueError("lengths of texts disagree with their bytes")
+            row = np.repeat(np.arange(to - at), own)
             blank = chars == 32
             out = np.zeros(((to - at) * DIMENSIONS), np.int64)
             code = chars
@@ -84,9 +86,9 @@ def _vectors(idf: np.ndarray):
             for _, _, counts in _counts(batch.column(0)):
                 for x in _weighted(counts, idf):
                     at = np.flatnonzero(x)
-                    slots.append(at)
-                    values.append(x[at])
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(slots, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], ["lang", "h", "slots", "weights"])
+                    slots.append(at.astype(np.int32))
+                    values.append(x[at].astype(np.float32))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["lang", "h", "t", "slots", "weights"])
 
     return run
 
@@ -146,9 +148,11 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from the labelled rows of docs; None if no row has a label and letters.
 
-    The sample is the sample_rows labelled rows of least hash of the id.
+    The sample is the sample_rows labelled rows of least hash of the id, then
+    of the text, so it is the same however rows are spread and repeated; of
+    these, rows without letters are left out.
     """
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("h"), valid(F.col(text_col)).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     table = rows.select("text").mapInArrow(_document_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     found = dict(zip(table.column("slot").to_pylist(), table.column("n").to_pylist()))
     total = found.pop(-1, 0)
@@ -156,11 +160,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return None
     idf = np.full(DIMENSIONS, np.log(1 + total) + 1)
     idf[list(found)] = np.log((1 + total) / (1 + np.array(list(found.values())))) + 1
-    labelled = rows.where("lang is not null and text is not null")
+    labelled = rows.where("lang is not null and text is not null").withColumn("t", F.xxhash64("text"))
     last = labelled.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
     if last is None:
         return None
-    sample = labelled.where(F.col("h") <= last).select("text", "lang", "h").mapInArrow(_vectors(idf), T.StructType([T.StructField("lang", T.StringType()), T.StructField("h", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])).where(F.size("slots") > 0).limit(2 * sample_rows).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    vectors = labelled.where(F.col("h") <= last).select("text", "lang", "h", "t").mapInArrow(_vectors(idf), "lang string, h long, t long, slots array<int>, weights array<float>")
+    sample = vectors.orderBy("h", "t", "lang").limit(sample_rows).where(F.size("slots") > 0).toArrow().sort_by([("h", "ascending"), ("t", "ascending"), ("lang", "ascending")])
     langs = sorted(set(sample.column("lang").to_pylist()))
     if not langs:
         return None
@@ -193,7 +198,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
 
     Texts that are null, empty or without letters are UNKNOWN with confidence
     0, and so is everything if the model is None. Of languages that tie the
-    first by name wins. New names that docs has already get an underscore.
+    first by name wins. Very long texts are counted whole; bytes that aren't
+    UTF-8 count as U+FFFD. New names that docs has already get an underscore.
     """
     keep = list(docs.columns if keep is None else keep)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
@@ -203,7 +209,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(rows.schema.fields)]
     fields += [T.StructField(f"c{len(keep)}", T.StringType()), T.StructField(f"c{len(keep) + 1}", T.DoubleType())]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("scanned text"))
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], valid(F.col(text_col)).alias("scanned text"))
     return given.toDF(*[f"c{i}" for i in range(len(keep) + 1)]).mapInArrow(_predict(shared, len(keep)), T.StructType(fields)).toDF(*keep, *new)
 
 

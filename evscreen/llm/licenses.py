@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import text_key
+from .shared import text_key, valid
 
 #: Short notices by license; {holder} and {year} stand for any words.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -153,6 +153,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     one document. An empty table gives an empty result; other columns are
     ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), valid(F.col(text_col)).alias("text"))
     schema = T.StructType([rows.schema["id"], rows.schema["key"], *(T.StructField(n, t) for n, t in _FIELDS)])
     return rows.mapInArrow(_scan(templates or TEMPLATES), schema).distinct()

@@ -23,6 +23,10 @@ WEIGHTS: Mapping[str, int] = {"src0": 4, "src1": 2, "src2": 1}
 DEFAULT_WEIGHT = 1
 #: Sources whose rates are broadcast, at most.
 BROADCAST_SOURCES = 100_000
+#: Copies that one array lists; of more there are several arrays.
+COPIES_AT_ONCE = 1 << 12
+#: Rates must stay below it.
+MAX_RATE = (1 << 31) - 2
 _SPACES = "[^ \\t\\n\\r\\f]+"
 
 
@@ -60,15 +64,26 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default: int = DE
 
     Repeated rows have equal ids and so equal draws; each is repeated by
     itself. Empty and null texts have no tokens but follow their source's
-    rate. An empty table gives an empty result. If docs already has a column
-    named copy_col, an underscore is added to the new one's name.
+    rate; very long ones are one row like any other. A rate of MAX_RATE or
+    more, as a tiny source with a large share of the budget has, raises
+    ValueError before anything is repeated. An empty table gives an empty
+    result. If docs already has a column named copy_col, an underscore is added
+    to the new one's name.
     """
     rated = settle(rates(docs, weights, default, budget, source_col, text_col))
-    rated = F.broadcast(rated) if rated.count() <= BROADCAST_SOURCES else rated
+    sources, most, largest = rated.agg(F.count("*"), F.max("rate"), F.max_by("source", "rate")).first()
+    if (most or 0) >= MAX_RATE:
+        raise ValueError(f"source {largest!r} would be repeated {most:.3g} times; lower the budget or its weight")
+    rated = F.broadcast(rated) if sources <= BROADCAST_SOURCES else rated
     copy, name, count, rate = fresh(docs, copy_col, "rate_source", "rate_tokens", "rate")
     rated = rated.toDF(name, count, rate)
     out = docs.join(rated, F.col(f"`{source_col}`").eqNullSafe(F.col(name)), "inner")
-    whole = F.floor(rate).cast("int")
-    many = whole + (uniform(seed, F.col(f"`{id_col}`")) < F.col(rate) - F.floor(rate)).cast("int")
-    out = out.withColumn(copy, F.explode(F.when(many > 0, F.sequence(F.lit(1), many)).otherwise(F.array().cast("array<int>"))))
+    many = F.floor(rate).cast("int") + (uniform(seed, F.col(f"`{id_col}`")) < F.col(rate) - F.floor(rate)).cast("int")
+    first = F.lit(1)
+    if (most or 0) >= COPIES_AT_ONCE:
+        part, total = fresh(out, "copies_from", "copies")
+        out = out.withColumn(total, many).where(F.col(total) > 0)
+        out = out.withColumn(part, F.explode(F.sequence(F.lit(0), F.expr(f"(`{total}` - 1) div {COPIES_AT_ONCE}").cast("int")))).withColumn(part, F.col(part) * COPIES_AT_ONCE)
+        first, many = F.col(part) + 1, F.least(F.col(total).cast("long"), F.col(part).cast("long") + COPIES_AT_ONCE).cast("int")
+    out = out.withColumn(copy, F.explode(F.when(many >= first, F.sequence(first, many)).otherwise(F.array().cast("array<int>"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], copy)

@@ -21,20 +21,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import fresh
+from .shared import fresh, on_one_machine, valid
 
 ROUNDS = 8
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 
-def secret() -> bytes:
-    """The key: EVSCREEN_PII_KEY of the driver's environment; a fixed key for tests if it is unset."""
-    return os.environ.get("EVSCREEN_PII_KEY", "evscreen test key").encode()
+def secret(spark: SparkSession) -> bytes:
+    """The key: EVSCREEN_PII_KEY of the driver's environment. Where it is unset, one machine uses a fixed key for tests, and a cluster refuses."""
+    key = os.environ.get("EVSCREEN_PII_KEY") or ("evscreen test key" if on_one_machine(spark) else None)
+    if key is None:
+        raise RuntimeError("EVSCREEN_PII_KEY must hold the key")
+    return key.encode()
 
 
 class Feistel:
@@ -230,6 +233,7 @@ KINDS: tuple[tuple[str, str, Callable[[Feistel, str, bool], str | None]], ...] =
     ("date", r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}([./\-])[0-9]{1,2}\1[0-9]{4})(?![0-9]|[./\-][0-9])", date),
     ("ssn", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", ssn),
     ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])", phone),
+    ("abroad", r"(?<![0-9A-Za-z+])\+[2-9](?:[ .\-]?\(?[0-9]\)?){7,14}(?![0-9])", phone),
 )
 _ANY = re.compile("|".join(f"(?P<{name}>{re.sub(r'\\1', '(?P=mark)', p.replace('([./', '(?P<mark>[./'))})" for name, p, _ in KINDS))
 _EACH = [(name, re.compile(p), make) for name, p, make in KINDS]
@@ -286,13 +290,13 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes | None = No
     """The columns keep of docs (all if None), text_col with pseudonyms, and how many it has got.
 
     Null and empty texts stay and count 0; repeated rows change alike; long
-    texts are searched whole. If docs already has a column named count_col, an
+    texts are searched whole; bytes that aren't UTF-8 become U+FFFD. If docs already has a column named count_col, an
     underscore is added to the new one's name. With invert and the same key,
     the texts come back. An empty table gives an empty result.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != text_col]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias(text_col))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], valid(F.col(text_col)).alias(text_col))
     count = fresh(rows, count_col)[0]
     schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(rows.schema.fields)), T.StructField(f"c{len(keep) + 1}", T.LongType())])
-    out = rows.toDF(*[f"c{i}" for i in range(len(keep) + 1)]).mapInArrow(_pseudonymise(key or secret(), len(keep), invert), schema).toDF(*keep, text_col, count)
+    out = rows.toDF(*[f"c{i}" for i in range(len(keep) + 1)]).mapInArrow(_pseudonymise(key or secret(docs.sparkSession), len(keep), invert), schema).toDF(*keep, text_col, count)
     return out

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evscreen.llm import decontaminate, langid, licenses, lines, mixing, pii, repeats, simhash, topk, urls
+from evscreen.llm import decontaminate, langid, licenses, lines, mixing, pii, repeats, shared, simhash, topk, urls
 
 #: Names that operators use inside, as columns of the input.
 CLASHES = ["id", "key", "copy_no", "rate", "rate_source", "rate_tokens", "predicted", "confidence", "accepted", "pseudonyms", "gone_id", "gone_key", "gone_lines", "row_key", "row_text", "row_rank", "row_words", "scanned text", "words", "n", "a.b"]
@@ -124,6 +124,38 @@ def test_personal_data(docs):
     assert pii.pseudonymise(docs.limit(0)).isEmpty()
 
 
+def test_bytes_that_are_not_utf8(spark, items):
+    """They count as U+FFFD; no operator ends over them."""
+    df = spark.createDataFrame([(1, bytearray(b"some \xff\xfe words of a text \xc3\nand a second line, call 212-555-0142"), "en", "src0", 9), (2, bytearray(PLAIN.encode()), "en", "src0", 9)], "doc_id long, text binary, lang string, source string, n_chars long")
+    df = df.withColumn("text", F.col("text").cast("string"))
+    assert lines.drop_matches(df, length_col="n_chars").count() == 2 and simhash.drop_near_duplicates(df).count() == 2
+    assert decontaminate.drop_leaks(df, items.where("item_id <= 4")).count() == 2 and langid.identify(df).count() == 2
+    assert repeats.repeated_spans(df).isEmpty() and licenses.scan(df).isEmpty() and mixing.mix(df).count() > 0
+    row = pii.pseudonymise(df).where("doc_id = 1").first()
+    assert row["pseudonyms"] == 1 and "some \ufffd" in row["text"] and "555-0142" not in row["text"]
+
+
+def test_rates_that_are_too_large(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "one", "src0"), (2, "word " * 50, "src1")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="src0"):
+        mixing.mix(df, budget=10**13)
+    monkeypatch.setattr(mixing, "COPIES_AT_ONCE", 16)
+    got = {r["doc_id"]: (r["n"], r["least"], r["most"], r["own"]) for r in mixing.mix(df, budget=600).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("copy_no").alias("least"), F.max("copy_no").alias("most"), F.count_distinct("copy_no").alias("own")).collect()}
+    assert got[1] == (400, 1, 400, 400) and got[2][0] == 4
+
+
+def test_clusters_must_say_where_to_write_and_which_key_to_use(spark, monkeypatch):
+    monkeypatch.setattr(shared, "on_one_machine", lambda _: False)
+    monkeypatch.setattr(pii, "on_one_machine", lambda _: False)
+    monkeypatch.delenv("EVSCREEN_PII_KEY", raising=False)
+    monkeypatch.setattr(type(spark.conf), "get", lambda *_: None)
+    for call in (lambda: shared.shared_dir(spark), lambda: pii.secret(spark)):
+        with pytest.raises(RuntimeError):
+            call()
+    monkeypatch.setenv("EVSCREEN_PII_KEY", "k")
+    assert pii.secret(spark) == b"k"
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 2.0], 1), (3, [0.0, 2.0], 1), (4, None, 1), (5, [], 1), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1), (8, [inf, 1.0], 1), (9, [1.0, None], 1), (10, [1.0, 2.0, 3.0], 1), (None, [1.0, 1.0], 1), (11, [-1.0, 0.0], 1)]
