@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import bitmap, fresh, in_bitmap, matched, settle, text_key, valid
+from .shared import bitmap, discard, fresh, in_bitmap, matched, settle, text_key, valid
 
 THRESHOLD = 0.85
 #: Size of the table of word counts (the counts of words that share an entry are added; any order is exact).
@@ -306,6 +306,15 @@ def _wanted_lines(shared):
     return run
 
 
+def _in_sets(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(raw, batch.column(0).to_numpy().view(np.uint64), WANTED_BITS)))
+
+    return run
+
+
 def _fetch(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """(s, at, words), written: the words' codes of each set of firsts (s, at), from its first line."""
     doc = F.xxhash64(F.col("at.id"), F.col("at.key"))
@@ -347,7 +356,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     aren't UTF-8 count as U+FFFD. Rows with equal id and text are one
     document: their equal lines are the same line. A null id comes before all
     others. An empty table gives an empty result; other columns are ignored,
-    whatever their names.
+    whatever their names. The result is written.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
@@ -368,7 +377,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     lines = scanned.where("s is not null").select("s", F.struct("id", "key", "line").alias("at"))
     asked = met.select("s").distinct().withColumn("asked", F.lit(True))
     firsts = lines.groupBy("s").agg(F.min("at").alias("at"), F.count("*").alias("n")).join(asked, "s", "left")
-    firsts = settle(firsts.where("asked or n > 1").select("s", "at", F.coalesce("asked", F.lit(False)).alias("asked")))
+    firsts = settle(firsts.where("asked or n > 1").select("s", "at", "n", F.coalesce("asked", F.lit(False)).alias("asked")))
     lists = _lists(met, firsts.where("asked").select("s", "at"))
     kinds = "word long, lo int, hi int, s long, other long"
     found = settle(_ordered(lists).mapInArrow(_by_list(threshold, _first_pairs), kinds))
@@ -383,10 +392,18 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         wanted = more.select("s").union(more.select("other")).distinct()
         true = true.union(_true(more, _fetch(rows, firsts.join(wanted, "s", "left_semi").select("s", "at")), threshold))
 
+    # Only lines of sets that are repeated or matched move once more.
     best = true.groupBy("s").agg(F.min("at").alias("other"))
-    heads = firsts.select("s", F.col("at").alias("own")).join(best, "s", "left").select("s", F.least("own", "other").alias("first"))
-    out = lines.join(heads, "s").where("at > first")
-    return out.select("at.id", "at.key", "at.line", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.line").alias("first_line")).distinct()
+    heads = firsts.join(best, "s", "left").where("n > 1 or other is not null").select("s", F.least("at", "other").alias("first"))
+    heads = settle(heads)
+    shared = bitmap(heads.select("s"), WANTED_BITS)
+    some = scanned.where("s is not null").select("s", "id", "key", "line")
+    some = some.mapInArrow(_in_sets(shared), some.schema).select("s", F.struct("id", "key", "line").alias("at"))
+    out = some.join(heads, "s").where("at > first")
+    out = settle(out.select("at.id", "at.key", "at.line", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.line").alias("first_line")).distinct())
+    shared.destroy()
+    discard(scanned, met, firsts, lists, heads)
+    return out
 
 
 def drop_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, drop_emptied: bool = True, length_col: str | None = None) -> DataFrame:
