@@ -6,9 +6,15 @@ import math
 from collections.abc import Callable
 from statistics import NormalDist
 
+import numpy as np
+
 from evscreen.errors import RecallError
 
 
+#: Samples up to which a tail within 1e-9 of its limit is computed from whole numbers; beyond, such a tie falls as rounding has it.
+EXACT_SAMPLE = 10_000
+
+
 def two_sided_z(confidence: float) -> float:
     if not 0 < confidence < 1:
         raise RecallError("confidence must lie strictly between 0 and 1")
@@ -21,6 +27,25 @@ def _tail(lo: int, hi: int, k: int, n: int, population: int) -> float:
     return ways / math.comb(population, n)
 
 
+def _quick_tail(lo: int, hi: int, k: int, n: int, population: int) -> float:
+    """_tail but for about 1e-12 of it: terms relative to the largest one, as far as they count."""
+    least, most = max(n - population + k, 0), min(k, n)
+    mode = min(most, max(least, (n + 1) * (k + 1) // (population + 2)))
+    reach = int(40 * math.sqrt(n * (k / population) * (1 - k / population) + 1)) + 40
+    i = np.arange(mode, min(most, mode + reach), dtype=float)
+    up = np.cumprod((k - i) * (n - i) / ((i + 1) * (population - k - n + i + 1)))
+    i = np.arange(mode, max(least, mode - reach), -1, dtype=float)
+    down = np.cumprod(i * (population - k - n + i) / ((k - i + 1) * (n - i + 1)))
+    terms, first = np.concatenate([down[::-1], [1.0], up]), mode - len(down)
+    return terms[max(lo - first, 0) : max(hi - first + 1, 0)].sum() / terms.sum()
+
+
+def _reaches(lo: int, hi: int, k: int, n: int, population: int, least: float) -> bool:
+    """Whether _tail is least or more: by whole numbers where rounding could tell otherwise and samples aren't large."""
+    quick = _quick_tail(lo, hi, k, n, population)
+    return _tail(lo, hi, k, n, population) >= least if abs(quick - least) <= 1e-9 and n <= EXACT_SAMPLE else quick >= least
+
+
 def _checked(m: int, n: int, population: int, confidence: float) -> None:
     if not 0 < confidence < 1:
         raise RecallError("confidence must lie strictly between 0 and 1")
@@ -44,7 +69,7 @@ def hypergeometric_upper(m: int, n: int, population: int, confidence: float = 0.
     _checked(m, n, population, confidence)
     if n == population:
         return m
-    return _edge(m, population, lambda k: _tail(0, m, k, n, population) >= 1 - confidence, last=True)
+    return _edge(m, population, lambda k: _reaches(0, m, k, n, population, 1 - confidence), last=True)
 
 
 def hypergeometric_lower(k: int, n: int, population: int, confidence: float = 0.95) -> int:
@@ -52,4 +77,4 @@ def hypergeometric_lower(k: int, n: int, population: int, confidence: float = 0.
     _checked(k, n, population, confidence)
     if k == 0 or n == population:
         return k
-    return _edge(k, population, lambda x: _tail(k, n, x, n, population) >= 1 - confidence, last=False)
+    return _edge(k, population, lambda x: _reaches(k, n, x, n, population, 1 - confidence), last=False)

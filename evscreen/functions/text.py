@@ -40,8 +40,11 @@ def parse_reply(reply: Column) -> Column:
 def parse_batch_reply(reply: Column, record_id: Column) -> Column:
     """The rating that a JSON object of ids and decisions gives a record; null if it gives none.
 
-    Decisions are replies as for parse_reply, or the whole numbers -1, 0 and 1.
+    Decisions are strings, read as replies by parse_reply, or the whole numbers
+    -1, 0 and 1; other values, a number in quotes too, give none.
     """
-    value = F.try_element_at(F.from_json(reply, "map<string,string>"), record_id)
-    number = F.when(value.isin("-1", "0", "1"), value.cast("int"))
-    return F.coalesce(number, parse_reply(value)["rating"])
+    value = F.try_element_at(F.from_json(reply, "map<string,variant>"), record_id)
+    kind = F.schema_of_variant(value)
+    number = F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(number.isin(-1, 0, 1), number.cast("int")).otherwise(parse_reply(text)["rating"])

@@ -10,8 +10,9 @@ from evscreen.functions.text import strip
 
 OPENAI_LIKE = ("openai", "mistral", "fireworks", "together")
 MIN_SUPPORTING = 3
-_TOKENS = "array<struct<token:string,logprob:string>>"
 _GOOGLE = "array<struct<token:string,logProbability:string,log_probability:string>>"
+#: What counts of a reply of either kind, read in one pass.
+_REPLY = f"struct<logprobs:struct<content:array<struct<token:string,logprob:string>>,chosenCandidates:{_GOOGLE},chosen_candidates:{_GOOGLE}>>"
 
 
 def _geometric_mean(entries: Column) -> Column:
@@ -24,10 +25,10 @@ def _geometric_mean(entries: Column) -> Column:
 
 def vote_confidence(vendor: Column, raw: Column) -> Column:
     """The probability of a vote's tokens, 1 at most; null for raters without log probabilities and for unusable replies."""
-    content = F.from_json(F.get_json_object(raw, "$.logprobs.content"), _TOKENS)
+    own = F.from_json(raw, _REPLY)["logprobs"]
+    content = own["content"]
     plain = _geometric_mean(F.transform(content, lambda e: F.struct(e["token"].alias("token"), e["logprob"].try_cast("double").alias("p"))))
-    chosen = F.coalesce(F.get_json_object(raw, "$.logprobs.chosenCandidates"), F.get_json_object(raw, "$.logprobs.chosen_candidates"))
-    google = _geometric_mean(F.transform(F.from_json(chosen, _GOOGLE), lambda e: F.struct(e["token"].alias("token"), F.coalesce(e["logProbability"].try_cast("double"), e["log_probability"].try_cast("double")).alias("p"))))
+    google = _geometric_mean(F.transform(F.coalesce(own["chosenCandidates"], own["chosen_candidates"]), lambda e: F.struct(e["token"].alias("token"), F.coalesce(e["logProbability"].try_cast("double"), e["log_probability"].try_cast("double")).alias("p"))))
     found = F.when(vendor.isin(*OPENAI_LIKE), plain).when(vendor == "google", google)
     return F.when(found.isNotNull(), F.least(F.lit(1.0), found))  # least() alone passes over nulls
 

@@ -326,9 +326,12 @@ def fetch_jobs(services: list[BatchService], jobs: dict[str, Job], wait: float =
 def reassemble(results: DataFrame, ids: DataFrame) -> DataFrame:
     """(record_id, rating) from job results (custom_id, reply) and the map (custom_id, record_id).
 
-    A packed reply gives each of its records a rating; a record without one is missing.
+    A packed reply gives each of its records a rating or counts for none of
+    them: it is one answer, and what is wrong with it can't be laid to a single
+    record. Requests hold a bounded number of records, so their windows do too.
     """
-    sized = ids.withColumn("packed", F.count("*").over(Window.partitionBy("custom_id")) > 1)
-    joined = results.join(sized, "custom_id")
+    own = Window.partitionBy("custom_id")
+    joined = results.join(ids.withColumn("packed", F.count("*").over(own) > 1), "custom_id")
     rating = F.when(F.col("packed"), parse_batch_reply(F.col("reply"), F.col("record_id"))).otherwise(parse_reply(F.col("reply"))["rating"])
-    return joined.select("record_id", rating.alias("rating")).where("rating is not null")
+    rated = joined.select("custom_id", "record_id", rating.alias("rating")).withColumn("whole", F.min(F.col("rating").isNotNull()).over(own))
+    return rated.where("whole").select("record_id", "rating")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evscreen.functions.text import strip
@@ -33,12 +33,18 @@ def require_nonempty(field: str) -> Rule:
 
 
 def dedup(records: DataFrame, key: Column, id_col: str = "record_id", order: str = "seq") -> DataFrame:
-    """records with dedup_key, kept_id and duplicate: the first of a key by order stays.
+    """records with dedup_key, kept_id and duplicate: the first of a key by (order, id) stays; a null comes first.
 
-    One shuffle by key; both columns come from one window.
+    The first of each key is a partial minimum, which is joined back: texts
+    aren't sorted, and a key of millions of records, like that of empty texts,
+    isn't one task. Records are told apart by (order, id); of equal ones, the
+    whole pair is the first.
     """
-    own = Window.partitionBy("dedup_key").orderBy(order, id_col)
-    return records.withColumn("dedup_key", key).withColumns({"kept_id": F.first(id_col).over(own), "duplicate": F.row_number().over(own) > 1})
+    own = records.withColumn("dedup_key", key)
+    first = own.groupBy("dedup_key").agg(F.min(F.struct(F.col(order).alias("o"), F.col(id_col).alias("i"))).alias("dedup_first"))
+    joined = own.alias("l").join(first.withColumnRenamed("dedup_key", "dedup_first_key"), F.col("dedup_key").eqNullSafe(F.col("dedup_first_key")))
+    later = ~F.struct(F.col(order).alias("o"), F.col(id_col).alias("i")).eqNullSafe(F.col("dedup_first"))
+    return joined.withColumns({"kept_id": F.col("dedup_first.i"), "duplicate": later}).drop("dedup_first", "dedup_first_key")
 
 
 def apply_rules(records: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -7,10 +7,12 @@ import importlib.metadata
 import json
 import os
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, fields
 from datetime import UTC, datetime
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,7 +103,9 @@ class ChangeLog:
         for e in reversed(self.events):
             if e.after == config:
                 out.append(e)
-                config = e.before if e.before is not None else config
+                config = e.before
+                if config is None:
+                    break
         return out[::-1]
 
     def extends(self, older: ChangeLog) -> bool:
@@ -126,11 +130,27 @@ def field_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return x.join(y, "field", "full").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def lineage(events: DataFrame, config: str) -> DataFrame:
-    """(depth, before, after) from a configuration back to the first, by a recursive walk over a table of changes."""
-    events.select("before", "after").createOrReplaceTempView("evscreen_changes")
-    start = config.replace("'", "''")
-    return events.sparkSession.sql(f"WITH RECURSIVE walk(depth, before, after) AS (SELECT 0, before, after FROM evscreen_changes WHERE after = '{start}' UNION ALL SELECT depth + 1, c.before, c.after FROM walk w JOIN evscreen_changes c ON c.after = w.before WHERE c.before IS NULL OR c.before <> c.after) SELECT depth, before, after FROM walk")
+def lineage(events: DataFrame, config: str, order: str = "seq") -> DataFrame:
+    """(depth, before, after) from a configuration back to the first, over a table of changes of any length.
+
+    Each step takes the latest change before the last one that led to the
+    configuration in question, so a change counts once at most and reverts
+    don't go round. A log has one order, which makes the walk one pass over it,
+    the latest change first: rows stream through a task that holds none.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        want, depth = config, 0
+        for batch in batches:
+            out = []
+            for before, after in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if want is not None and after == want:
+                    out.append((depth, before, after))
+                    want, depth = before, depth + 1
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.string()))], ["depth", "before", "after"])
+
+    back = events.select(F.col("before").cast("string"), F.col("after").cast("string"), F.col(order).alias("seq")).repartition(1).sortWithinPartitions(F.desc("seq"))
+    return back.select("before", "after").mapInArrow(walk, "depth int, before string, after string")
 
 
 @dataclass(frozen=True)

@@ -203,7 +203,7 @@ SELECTS: dict[str, str] = {
     "prompted_votes": f"""SELECT track, vendor, {_rating("digest")} AS rating, count(*) AS n FROM (SELECT track, vendor, sha256('{q.SEED}:' || vendor || ':{q.MODEL}:' || record_id || ':' || coalesce(CASE track WHEN 'en' THEN 'Include English trials.' WHEN 'de' THEN 'Include German trials.' ELSE 'Include trials.' END, {_text(TASK)}) || {_text(chr(10) * 2 + CONTRACT)}) AS digest FROM records CROSS JOIN raters) GROUP BY ALL""",
     "parse_replies": f"SELECT rating, CASE WHEN rating IS NULL THEN CASE WHEN len(spelled) > 1 THEN 'ambiguous' ELSE 'none' END END AS problem, count(*) AS n FROM ({_parsed('all_replies')}) GROUP BY ALL",
     "parse_batch_replies": "SELECT record_id, rating FROM parsed_replies",
-    "batch_reassemble": "SELECT record_id, rating FROM parsed_replies WHERE rating IS NOT NULL",
+    "batch_reassemble": "SELECT record_id, rating FROM parsed_replies JOIN records USING (record_id) QUALIFY count(*) FILTER (rating IS NULL) OVER (PARTITION BY track, length(abstract)) = 0",
     "decide_escalate": _DECISION + "decisions",
     "decide_include": _DECISION + "(" + _decided("SELECT * FROM counts", 0.6, "include") + ")",
     "vote_vectors": "SELECT record_id, string_agg(vendor || '=' || rating, ',' ORDER BY pos) AS vector FROM votes GROUP BY record_id",
@@ -264,7 +264,12 @@ SELECTS: dict[str, str] = {
     "drift_summary": "SELECT coalesce(string_agg(vendor, ',' ORDER BY vendor) FILTER (hard_trigger), '') AS hard, coalesce(string_agg(vendor, ',' ORDER BY vendor) FILTER (advisory_flag), '') AS advisory, coalesce(bool_or(hard_trigger), false) AS triggered FROM drifts",
     "drift_staleness": "SELECT max(ts) AS last_evaluated_at, round((epoch_us(TIMESTAMP '2030-01-01 00:00:00') - epoch_us(max(ts)::TIMESTAMP)) / 86400e6, 9) AS staleness_days, coalesce((epoch_us(TIMESTAMP '2030-01-01 00:00:00') - epoch_us(max(ts)::TIMESTAMP)) / 86400e6 > 30, true) AS stale FROM events",
     "config_diff": "SELECT coalesce(c.field, s.field) AS field, c.value AS before, s.value AS after FROM (SELECT 'nation.' || c_nationkey AS field, count(*)::VARCHAR AS value FROM customer GROUP BY c_nationkey) c FULL JOIN (SELECT 'nation.' || s_nationkey AS field, count(*)::VARCHAR AS value FROM supplier GROUP BY s_nationkey) s ON c.field = s.field WHERE c.value IS DISTINCT FROM s.value",
-    "changelog_lineage": "SELECT ((SELECT count(*) FROM nation) - rank)::INTEGER AS depth, before, after FROM (SELECT lag(n_name) OVER (ORDER BY n_nationkey) AS before, n_name AS after, row_number() OVER (ORDER BY n_nationkey) AS rank FROM nation)",
+    "changelog_lineage": """WITH RECURSIVE c AS (SELECT c_custkey AS seq, c_mktsegment || '-' || c_nationkey AS after FROM customer
+), e AS (SELECT c.seq, c.after, (SELECT max(b.after) FROM c b WHERE b.seq + 1 + b.seq % 3 = c.seq) AS before FROM c
+), p AS (SELECT x.seq, max(y.seq) AS parent FROM e x JOIN e y ON y.after = x.before AND y.seq < x.seq GROUP BY x.seq
+), walk(depth, seq) AS (
+  SELECT 0, max(seq) FROM e UNION ALL SELECT depth + 1, parent FROM walk JOIN p USING (seq)
+) SELECT depth::INTEGER AS depth, before, after FROM walk JOIN e USING (seq)""",
     "manifest_verify": "SELECT c_custkey::VARCHAR AS artifact, CASE WHEN s_suppkey IS NULL THEN 'missing' ELSE 'hash_mismatch' END AS problem FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey WHERE s_suppkey IS NULL OR c_nationkey <> s_nationkey",
     "upsert_latest": "SELECT user_id, event_type, event_id, round(value, 9) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "screening_flow": "SELECT track, count(*) AS screened, count(*) FILTER (escalate) AS escalated, count(*) FILTER (auto_label = 1) AS included, count(*) FILTER (auto_label = -1) AS excluded FROM passed JOIN decisions USING (record_id) GROUP BY track",

@@ -38,6 +38,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def tree_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """One row (sha256) for a table: the hash of the names and hashes of its files, in order of their names."""
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select(F.concat_ws("=", F.element_at(F.split("path", "/"), -1), F.sha2("content", 256)).alias("part"))
+    return parts.agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("part"))), 256).alias("sha256"))
+
+
 def file_hashes(spark: SparkSession, root: str) -> DataFrame:
     """(artifact, sha256) of the files directly in root."""
     return spark.read.format("binaryFile").load(root).select(F.element_at(F.split("path", "/"), -1).alias("artifact"), F.sha2("content", 256).alias("sha256"))

@@ -164,7 +164,13 @@ class RunStore:
         self.write_json(f"{name}.frame", {"frame_hash": frame_hash})
 
     def hashes(self) -> DataFrame:
-        return files.file_hashes(self.spark, self.root).where("artifact like '%.json' and artifact <> 'manifest.json'")
+        """(artifact, sha256) of the run's JSON files and, as name.parquet, of the tables that its pointers name."""
+        out = files.file_hashes(self.spark, self.root).where("artifact like '%.json' and artifact <> 'manifest.json'")
+        for name in (*TABLES, *LOGS):
+            at = self._pointer(name)
+            if at and files.exists(self.spark, f"{self.root}/{at['version']}"):
+                out = out.union(files.tree_hash(self.spark, f"{self.root}/{at['version']}").select(F.lit(f"{name}.parquet").alias("artifact"), "sha256"))
+        return out
 
     def write_manifest(self, **options: Any) -> dict[str, Any]:
         manifest = pv.build_manifest(self.hashes(), self.require_json("config")["ensemble_config_id"], **options)

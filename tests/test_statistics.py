@@ -1,7 +1,10 @@
+import random
+import time
+
 import pytest
 
 from evscreen.errors import AgreementError, RecallError
-from evscreen.functions.numerics import _tail, hypergeometric_lower, hypergeometric_upper, two_sided_z
+from evscreen.functions.numerics import _quick_tail, _tail, hypergeometric_lower, hypergeometric_upper, two_sided_z
 from evscreen.operators import agreement, recall
 
 VOTES = "record_id string, vendor string, rating int"
@@ -100,3 +103,23 @@ def test_audited_positives(spark):
         recall.estimated_positives(out)
     with pytest.raises(RecallError):
         recall.stratified(out.limit(0), 1)
+
+
+def test_quick_tails_are_the_exact_ones():
+    rng = random.Random(5)
+    for _ in range(300):
+        population = rng.randrange(2, 400)
+        n, k = rng.randrange(1, population + 1), rng.randrange(0, population + 1)
+        lo = rng.randrange(0, n + 1)
+        for a, b in ((0, lo), (lo, n)):
+            assert _quick_tail(a, b, k, n, population) == pytest.approx(_tail(a, b, k, n, population), abs=1e-12)
+
+
+def test_bounds_of_large_samples():
+    """A tenth of ten million records, within a second each; near the normal approximation."""
+    m, n, population = 30_000, 1_000_000, 10_000_000
+    began = time.perf_counter()
+    high, low = hypergeometric_upper(m, n, population), hypergeometric_lower(m, n, population)
+    assert time.perf_counter() - began < 2
+    half = 1.645 * 10 * (m * (1 - m / n) * (1 - n / population)) ** 0.5
+    assert high == pytest.approx(m * 10 + half, rel=1e-3) and low == pytest.approx(m * 10 - half, rel=1e-3)

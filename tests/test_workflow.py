@@ -3,6 +3,7 @@
 import ast
 import json
 import math
+import shutil
 from pathlib import Path
 
 import pytest
@@ -33,12 +34,30 @@ def test_replies(spark):
 
 
 def test_batch_replies(spark):
-    rows = [('{"a": "I", "b": "E", "extra": "U"}', "a", 1), ('{"b": "E", "a": 0}', "a", 0), ('{"a": true}', "a", None), ('{"a": 2}', "a", None), ('{"b": "E"}', "a", None), ("[1]", "a", None), ("no json", "a", None), (None, "a", None)]
+    rows = [('{"a": "I", "b": "E", "extra": "U"}', "a", 1), ('{"b": "E", "a": 0}', "a", 0), ('{"a": true}', "a", None), ('{"a": 2}', "a", None), ('{"b": "E"}', "a", None), ("[1]", "a", None), ('{"a": "1"}', "a", None), ('{"a": 1.0}', "a", None), ('{"a": -1}', "a", -1), ('{"a": null}', "a", None), ('{"a": "E or I"}', "a", None), ('{"a.b": "I", "a": {"b": "E"}}', "a.b", 1), ("no json", "a", None), (None, "a", None)]
     df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, reply string, id string")
     got = {r["i"]: r["v"] for r in df.select("i", parse_batch_reply(F.col("reply"), F.col("id")).alias("v")).collect()}
     assert [got[i] for i in range(len(rows))] == [r[2] for r in rows]
 
 
+def test_a_packed_reply_counts_whole_or_not_at_all(spark):
+    ids = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "c"), ("y", "d"), ("z", "e"), ("w", "f")], "custom_id string, record_id string")
+    replies = spark.createDataFrame([("x", '{"a": "I", "b": "E"}'), ("y", '{"c": "I", "d": "maybe"}'), ("z", "U"), ("w", "none"), ("v", "I")], "custom_id string, reply string")
+    assert sorted((r["record_id"], r["rating"]) for r in ensemble.reassemble(replies, ids).collect()) == [("a", 1), ("b", -1), ("e", 0)]
+
+
+def test_lineages_of_any_length(spark):
+    """Reverts and long logs, as the log on the driver has them."""
+    logs = [[(None, "a"), ("a", "b"), ("b", "a")], [(None, "0"), *((str(i % 50), str((i * 7 + 1) % 50)) for i in range(10_000))], [("x", "y")], []]
+    for log in logs:
+        own = pv.ChangeLog([pv.ConfigChange(pv.now(), b, a, "why", pv.DRIFT) for b, a in log])
+        config = log[-1][1] if log else "a"
+        df = spark.createDataFrame([(i, b, a) for i, (b, a) in enumerate(log)], "seq long, before string, after string").repartition(5)
+        got = [(r["before"], r["after"]) for r in pv.lineage(df, config).orderBy("depth").collect()]
+        assert got == [(e.before, e.after) for e in own.history(config)][::-1]
+        assert len(got) == len(set(got)) or len(log) > 100
+
+
 # input and prefilter
 
 
@@ -326,6 +345,15 @@ def test_store(spark, tmp_path):
     assert store.verify().isEmpty()
     store.write_json("changelog", [])
     assert [(r["artifact"], r["problem"]) for r in store.verify().collect()] == [("changelog.json", "hash_mismatch")]
+    store.write_manifest()
+    for name, altered in (("votes", store.read("votes").withColumn("rating", F.lit(0))), ("audit_draw", store.read("audit_draw").withColumn("stratum", F.lit("other")))):
+        at, kept = f"{store.root}/{store.read_json(f'{name}.table')['version']}", f"{store.root}/kept"
+        altered.write.parquet(f"{kept}-{name}")
+        shutil.rmtree(at)
+        shutil.move(f"{kept}-{name}", at)
+        assert (f"{name}.parquet", "hash_mismatch") in {(r["artifact"], r["problem"]) for r in store.verify().collect()}
+        shutil.rmtree(at)
+    assert {(r["artifact"], r["problem"]) for r in store.verify().collect()} == {("votes.parquet", "missing"), ("audit_draw.parquet", "missing")}
 
 
 # the command line
