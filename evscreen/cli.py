@@ -28,13 +28,14 @@ from evscreen.sources.store import RunStore
 
 VOTES, RAW = ("record_id", "pos", "vendor", "rating"), ("record_id", "vendor", "raw")
 Services = Mapping[str, ensemble.Factory]
+BatchServices = Mapping[str, ensemble.BatchFactory]
 
 
 class Context:
     """What a command works with."""
 
-    def __init__(self, spark: SparkSession, args: argparse.Namespace, factories: Services | None):
-        self.spark, self.args, self.factories = spark, args, factories
+    def __init__(self, spark: SparkSession, args: argparse.Namespace, factories: Services | None, batch_factories: BatchServices | None = None):
+        self.spark, self.args, self.factories, self.batch_factories = spark, args, factories, batch_factories
         self.store = RunStore(spark, args.run_dir)
 
     def records(self, path: str) -> DataFrame:
@@ -55,9 +56,11 @@ class Context:
         return ensemble.build_raters(config, self.factories)
 
     def batch_services(self, config: ingest.EnsembleConfig) -> list[ensemble.BatchService]:
-        if self.args.deterministic_seed is None:
-            raise CommandError("no batch services are connected: give --deterministic-seed")
-        return [ensemble.SeededBatchService(self.spark, r) for r in self.raters(config, self.args.request_logprobs)]
+        if self.args.deterministic_seed is not None:
+            return [ensemble.SeededBatchService(self.spark, f"{self.store.root}/jobs", r) for r in self.raters(config, self.args.request_logprobs)]
+        if self.batch_factories is None:
+            raise CommandError("no batch services are connected: give --deterministic-seed, or call main() with batch_factories")
+        return ensemble.build_batch_raters(config, self.batch_factories)
 
 
 def shown(payload: Any, out: str | None = None, spark: SparkSession | None = None) -> None:
@@ -413,11 +416,11 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def main(argv: Sequence[str] | None = None, factories: Services | None = None, spark: SparkSession | None = None) -> int:
+def main(argv: Sequence[str] | None = None, factories: Services | None = None, spark: SparkSession | None = None, batch_factories: BatchServices | None = None) -> int:
     """The exit code: 0, 1 for problems that verify finds, 2 for refusals."""
     args = parser().parse_args(argv)
     try:
-        return COMMANDS[args.command][0](Context(spark or SparkSession.builder.getOrCreate(), args, factories))
+        return COMMANDS[args.command][0](Context(spark or SparkSession.builder.getOrCreate(), args, factories, batch_factories))
     except (ScreeningError, BatchJobError, CommandError, NotImplementedError) as error:
         print(f"error: {error}", file=sys.stderr)
         return 2

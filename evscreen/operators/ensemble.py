@@ -11,7 +11,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any, Protocol
 
 import pandas as pd
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from evscreen.errors import BatchJobError, InputError, ModelDriftError
 from evscreen.functions.text import parse_batch_reply, parse_reply
+from evscreen.operators import codecs
 from evscreen.sources.ingest import EnsembleConfig, RaterSpec, prompt_for
 
 TASK = "You screen scientific records for a review. Judge the record by its title and abstract."
@@ -142,10 +143,32 @@ class SeededRater:
         return requests.withColumn("digest", value).select("record_id", seeded_rating(F.col("digest")).alias("rating"), seeded_reply(F.lit(self.vendor), F.col("digest"), self.logprobs).alias("raw"))
 
 
+def chunk_requests(requests: DataFrame) -> DataFrame:
+    """(custom_id, system, user, size, members): one row for each chunk of packed requests, and for each record of others.
+
+    A chunk of one record is asked for as a single one. Chunks hold a bounded
+    number of records.
+    """
+    message = user_message(F.col("record_id"), F.col("title"), F.col("abstract"))
+    if "chunk" not in requests.columns:
+        return requests.select(F.col("record_id").alias("custom_id"), system_prompt(F.col("prompt")).alias("system"), message.alias("user"), F.lit(1).alias("size"), F.array("record_id").alias("members"))
+    own = requests.select(custom_id().alias("custom_id"), "prompt", F.struct("position", "record_id", message.alias("message")).alias("m"))
+    chunks = own.groupBy("custom_id").agg(F.first("prompt").alias("prompt"), F.array_sort(F.collect_list("m")).alias("m"))
+    size = F.size("m")
+    system = F.when(size > 1, system_prompt(F.col("prompt"), packed=True)).otherwise(system_prompt(F.col("prompt")))
+    return chunks.select("custom_id", system.alias("system"), F.array_join(F.transform("m", lambda x: x["message"]), "\n\n").alias("user"), size.alias("size"), F.transform("m", lambda x: x["record_id"]).alias("members"))
+
+
+def custom_id() -> Column:
+    """Names the chunk of a packed request: its prompt, hashed, and its number."""
+    return F.concat(F.lit("item-"), F.substring(F.sha2("chunk_group", 256), 1, 16), F.lit("-"), F.col("chunk").cast("string"))
+
+
 @dataclass(frozen=True)
 class ServiceRater:
     """A rater behind a service. ask gets pandas rows (record_id, system, user) and returns their replies as
-    (text, raw JSON, reported model version); it runs on executors, a batch of rows at a time."""
+    (text, raw JSON, reported model version); it runs on executors, a batch of rows at a time. A packed chunk is one
+    row, with its custom id as record_id, and its reply must rate each of its records."""
 
     vendor: str
     model_version: str
@@ -153,20 +176,22 @@ class ServiceRater:
     checks_version: bool = True
 
     def rate(self, requests: DataFrame) -> DataFrame:
-        prepared = requests.select("record_id", system_prompt(F.col("prompt")).alias("system"), user_message(F.col("record_id"), F.col("title"), F.col("abstract")).alias("user"))
+        chunks = chunk_requests(requests)
+        prepared = chunks.select(F.col("custom_id").alias("record_id"), "system", "user", F.to_json("members").alias("members"))
         ask, vendor, wanted = self.ask, self.vendor, self.model_version if self.checks_version else None
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                replies = ask(frame)
+                replies = ask(frame.drop(columns="members"))
                 for _, _, reported in replies:
                     check_version(vendor, wanted, reported)
-                yield pd.DataFrame({"record_id": frame["record_id"], "text": [r[0] for r in replies], "raw": [r[1] for r in replies]})
+                yield pd.DataFrame({"members": frame["members"], "text": [r[0] for r in replies], "raw": [r[1] for r in replies]})
 
-        replies = prepared.mapInPandas(run, "record_id string, text string, raw string")
-        parsed = parse_reply(F.col("text"))
-        rating = F.when(parsed["rating"].isNull(), F.raise_error(F.concat(F.lit(f"{vendor}: no single rating in the reply for "), F.col("record_id")))).otherwise(parsed["rating"])
-        return replies.select("record_id", rating.cast("int").alias("rating"), "raw")
+        replies = prepared.mapInPandas(run, "members string, text string, raw string").withColumn("members", F.from_json("members", "array<string>"))
+        each = replies.select(F.explode("members").alias("record_id"), (F.size("members") > 1).alias("packed"), "text", "raw")
+        parsed = F.when(F.col("packed"), parse_batch_reply(F.col("text"), F.col("record_id"))).otherwise(parse_reply(F.col("text"))["rating"])
+        rating = F.when(parsed.isNull(), F.raise_error(F.concat(F.lit(f"{vendor}: no single rating in the reply for "), F.col("record_id")))).otherwise(parsed)
+        return each.select("record_id", rating.cast("int").alias("rating"), "raw")
 
 
 def check_version(vendor: str, expected: str | None, reported: str | None) -> None:
@@ -180,7 +205,7 @@ def check_version(vendor: str, expected: str | None, reported: str | None) -> No
 SERVICES: dict[str, dict[str, Any]] = {
     "anthropic": {"logprobs": (False, False), "versioned": True, "done": {"ended"}, "failed": set()},
     "openai": {"logprobs": (True, True), "versioned": True, "done": {"completed"}, "failed": {"failed", "expired", "cancelled"}},
-    "google": {"logprobs": (True, True), "versioned": False, "done": {"JOB_STATE_SUCCEEDED"}, "failed": {"JOB_STATE_FAILED", "JOB_STATE_CANCELLED", "JOB_STATE_EXPIRED"}},
+    "google": {"logprobs": (True, True), "versioned": False, "done": {"JOB_STATE_SUCCEEDED", "BATCH_STATE_SUCCEEDED"}, "failed": {f"{kind}_STATE_{end}" for kind in ("JOB", "BATCH") for end in ("FAILED", "CANCELLED", "EXPIRED")}},
     "mistral": {"logprobs": (True, True), "versioned": True, "done": {"SUCCESS"}, "failed": {"FAILED", "TIMEOUT_EXCEEDED", "CANCELLED"}},
     "fireworks": {"logprobs": (True, False), "versioned": True, "done": {"JOB_STATE_COMPLETED"}, "failed": {"JOB_STATE_FAILED", "JOB_STATE_CANCELLED", "JOB_STATE_EXPIRED"}},
     "together": {"logprobs": (True, True), "versioned": True, "done": {"COMPLETED"}, "failed": {"FAILED", "EXPIRED", "CANCELLED"}},
@@ -220,15 +245,14 @@ def run_ensemble(records: DataFrame, raters: list[Rater], config: EnsembleConfig
 
 @dataclass
 class Job:
-    """A batch job: which records went out under which custom id."""
+    """A batch job. ids is a table (custom_id, record_id, prompt, peers) of what went out under which custom id."""
 
     vendor: str
     model: str
     config_id: str
     submitted_at: float
     provider_id: str
-    id_map: dict[str, list[str]]
-    prompts: dict[str, str | None] = field(default_factory=dict)
+    ids: str
 
     def to_json(self) -> str:
         return json.dumps(self.__dict__, sort_keys=True)
@@ -253,9 +277,10 @@ class BatchService(Protocol):
 
 @dataclass
 class SeededBatchService:
-    """The offline batch twin of SeededRater: equal ratings; fails leaves records out."""
+    """The offline batch twin of SeededRater: equal ratings; fails leaves records out. place: a folder for its jobs."""
 
     spark: SparkSession
+    place: str
     rater: SeededRater
     fails: tuple[str, ...] = ()
     pending_polls: int = 0
@@ -269,21 +294,88 @@ class SeededBatchService:
         return self.rater.model
 
     def submit(self, requests: DataFrame, config_id: str) -> Job:
-        rows = requests.select("record_id", "chunk_group", "chunk", "prompt").collect()
-        ids: dict[str, list[str]] = {}
-        for r in rows:
-            ids.setdefault(f"{r['chunk_group']}-{r['chunk']}", []).append(r["record_id"])
-        prompts = {r["record_id"]: r["prompt"] for r in rows}
-        return Job(self.vendor, self.model, config_id, time.time(), uuid.uuid4().hex, ids, prompts)
+        return Job(self.vendor, self.model, config_id, time.time(), uuid.uuid4().hex, _write_ids(requests, self.place))
 
     def poll(self, job: Job) -> str:
         self.pending_polls -= 1
         return "pending" if self.pending_polls >= 0 else "completed"
 
     def fetch(self, job: Job) -> DataFrame:
-        rows = [(r, job.prompts.get(r), sorted(set(own) - {r})) for own in job.id_map.values() for r in own]
-        requests = self.spark.createDataFrame(rows, "record_id string, prompt string, peers array<string>")
-        return self.rater.rate(requests).where(~F.col("record_id").isin(*self.fails) if self.fails else F.lit(True))
+        return self.rater.rate(self.spark.read.parquet(job.ids)).where(~F.col("record_id").isin(*self.fails) if self.fails else F.lit(True))
+
+
+def _write_ids(requests: DataFrame, place: str) -> str:
+    path = f"{place}/ids-{uuid.uuid4().hex}"
+    requests.select(custom_id().alias("custom_id"), "record_id", "prompt", "peers").write.parquet(path)
+    return path
+
+
+class Transport(Protocol):
+    """Carries a batch job's file to a service and back. Rows are (place, line); place numbers them from 0."""
+
+    def submit(self, lines: DataFrame) -> str: ...
+
+    def state(self, provider_id: str) -> str: ...
+
+    def results(self, provider_id: str) -> DataFrame: ...
+
+
+@dataclass
+class ServiceBatch:
+    """The batch service of a vendor, over a transport: requests and answers in the vendor's own form."""
+
+    spark: SparkSession
+    place: str
+    vendor: str
+    options: codecs.Options
+    model_version: str
+    transport: Transport
+
+    @property
+    def model(self) -> str:
+        return self.options.model
+
+    def lines(self, requests: DataFrame) -> DataFrame:
+        """(place, custom_id, line), in a fixed order."""
+        chunks = chunk_requests(requests).withColumns({"all": F.lit(""), "spread": F.xxhash64("custom_id")})
+        placed = numbered(chunks, "all", "spread", "custom_id")
+        return placed.select("place", "custom_id", codecs.line(self.vendor, self.options, F.col("custom_id"), F.col("system"), F.col("user"), F.col("size")).alias("line"))
+
+    def submit(self, requests: DataFrame, config_id: str) -> Job:
+        job_state(self.vendor, "")  # refuses vendors without such a service
+        ids = _write_ids(requests, self.place)
+        self.lines(requests).write.parquet(f"{ids}-lines")
+        lines = self.spark.read.parquet(f"{ids}-lines")
+        return Job(self.vendor, self.model, config_id, time.time(), self.transport.submit(lines.select("place", "line")), ids)
+
+    def poll(self, job: Job) -> str:
+        return job_state(self.vendor, self.transport.state(job.provider_id))
+
+    def fetch(self, job: Job) -> DataFrame:
+        own = self.transport.results(job.provider_id).select(codecs.returned(self.vendor, F.col("line"), F.col("place")).alias("r")).select("r.*")
+        if self.vendor == "fireworks":
+            names = self.spark.read.parquet(f"{job.ids}-lines").select(F.col("place").cast("string").alias("custom_id"), F.col("custom_id").alias("name"))
+            own = own.join(names, "custom_id").drop("custom_id").withColumnRenamed("name", "custom_id")
+        own = own.where("text is not null")
+        raw = F.to_json(F.struct("custom_id", "text", "model", F.from_json("logprobs", "variant").alias("logprobs")))
+        other = F.lit(SERVICES[self.vendor]["versioned"]) & (F.col("model") != F.lit(self.model_version))
+        text = F.when(other, F.raise_error(F.concat(F.lit(f"{self.vendor} reports model version "), F.col("model"), F.lit(f", not {self.model_version}")))).otherwise(F.col("text"))
+        ids = self.spark.read.parquet(job.ids).select("custom_id", "record_id")
+        return reassemble(own.select("custom_id", text.alias("reply"), raw.alias("raw")), ids)
+
+
+BatchFactory = Callable[[str, RaterSpec], BatchService]
+
+
+def build_batch_raters(config: EnsembleConfig, factories: Mapping[str, BatchFactory]) -> list[BatchService]:
+    """A batch service for each name of the configuration; names without a factory, and services without batch jobs, are refused."""
+    for name in config.vendors:
+        if name in SERVICES and SERVICES[name]["done"] is None:
+            raise InputError(f"{name} has no batch service")
+    missing = [n for n in config.vendors if n not in factories]
+    if missing:
+        raise InputError(f"no batch service is known for {', '.join(missing)}")
+    return [factories[name](name, spec) for name, spec in config.vendors.items()]
 
 
 def submit_jobs(records: DataFrame, services: list[BatchService], config: EnsembleConfig, config_id: str, known: dict[str, Job]) -> dict[str, Job]:
@@ -324,7 +416,7 @@ def fetch_jobs(services: list[BatchService], jobs: dict[str, Job], wait: float =
 
 
 def reassemble(results: DataFrame, ids: DataFrame) -> DataFrame:
-    """(record_id, rating) from job results (custom_id, reply) and the map (custom_id, record_id).
+    """(record_id, rating), and raw if results have it, from job results (custom_id, reply) and the map (custom_id, record_id).
 
     A packed reply gives each of its records a rating or counts for none of
     them: it is one answer, and what is wrong with it can't be laid to a single
@@ -333,5 +425,6 @@ def reassemble(results: DataFrame, ids: DataFrame) -> DataFrame:
     own = Window.partitionBy("custom_id")
     joined = results.join(ids.withColumn("packed", F.count("*").over(own) > 1), "custom_id")
     rating = F.when(F.col("packed"), parse_batch_reply(F.col("reply"), F.col("record_id"))).otherwise(parse_reply(F.col("reply"))["rating"])
-    rated = joined.select("custom_id", "record_id", rating.alias("rating")).withColumn("whole", F.min(F.col("rating").isNotNull()).over(own))
-    return rated.where("whole").select("record_id", "rating")
+    more = [c for c in ("raw",) if c in results.columns]
+    rated = joined.select("custom_id", "record_id", rating.alias("rating"), *more).withColumn("whole", F.min(F.col("rating").isNotNull()).over(own))
+    return rated.where("whole").select("record_id", "rating", *more)

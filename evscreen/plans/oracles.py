@@ -204,6 +204,10 @@ SELECTS: dict[str, str] = {
     "parse_replies": f"SELECT rating, CASE WHEN rating IS NULL THEN CASE WHEN len(spelled) > 1 THEN 'ambiguous' ELSE 'none' END END AS problem, count(*) AS n FROM ({_parsed('all_replies')}) GROUP BY ALL",
     "parse_batch_replies": "SELECT record_id, rating FROM parsed_replies",
     "batch_reassemble": "SELECT record_id, rating FROM parsed_replies JOIN records USING (record_id) QUALIFY count(*) FILTER (rating IS NULL) OVER (PARTITION BY track, length(abstract)) = 0",
+    "batch_services": """SELECT vendor, rating, count(*) AS n FROM (
+  SELECT rating FROM (SELECT record_id, rating, track, (row_number() OVER (PARTITION BY track ORDER BY seq, record_id) - 1) // 3 AS chunk FROM parsed_replies JOIN records USING (record_id))
+  QUALIFY count(*) FILTER (rating IS NULL) OVER (PARTITION BY track, chunk) = 0
+) CROSS JOIN (VALUES ('anthropic'), ('google'), ('mistral'), ('openai'), ('together')) AS v(vendor) GROUP BY ALL""",
     "decide_escalate": _DECISION + "decisions",
     "decide_include": _DECISION + "(" + _decided("SELECT * FROM counts", 0.6, "include") + ")",
     "vote_vectors": "SELECT record_id, string_agg(vendor || '=' || rating, ',' ORDER BY pos) AS vector FROM votes GROUP BY record_id",

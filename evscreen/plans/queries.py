@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evscreen.functions import stats
 from evscreen.functions.text import parse_batch_reply, parse_reply
-from evscreen.operators import ablation, agreement, audit, confidence, decide, drift, ensemble, prefilter, provenance, recall, review
+from evscreen.operators import ablation, agreement, audit, codecs, confidence, decide, drift, ensemble, prefilter, provenance, recall, review
 from evscreen.sources import ingest, store
 
 SEED, OTHER_SEED, MODEL, MISS, TAU = 42, 43, "deterministic-v1", 13, 0.5
@@ -154,6 +155,23 @@ def batch_reassemble(spark, d):
     return ensemble.reassemble(packed, ids.select("custom_id", "record_id"))
 
 
+@query
+def batch_services(spark, d):
+    """Records packed by track, as JSONL for each service, answered in its form and read back: what becomes of them."""
+    own = records(spark, d).withColumn("prompt", F.col("track"))
+    packed = ensemble.pack(own, 3, F.col("track")).select("record_id", "title", "abstract", "prompt", "chunk_group", "chunk", "position")
+    ids = packed.select(ensemble.custom_id().alias("custom_id"), "record_id", _reply(F.sha2("record_id", 256)).alias("r"))
+    texts = ids.groupBy("custom_id").agg(F.when(F.count("*") > 1, F.to_json(F.map_from_entries(F.collect_list(F.struct("record_id", "r"))))).otherwise(F.first("r")).alias("text"))
+    chunks = ensemble.chunk_requests(packed).join(texts, "custom_id")
+    out = []
+    for vendor in ("anthropic", "google", "mistral", "openai", "together"):
+        asked = chunks.select(codecs.line(vendor, codecs.Options("m"), F.col("custom_id"), F.col("system"), F.col("user"), F.col("size")).alias("line"), "text")
+        key = F.get_json_object("line", "$.key" if vendor == "google" else "$.custom_id")
+        back = asked.select(codecs.returned(vendor, codecs.answer(vendor, key, F.col("text"), "m")).alias("r")).select("r.custom_id", F.col("r.text").alias("reply"))
+        out.append(ensemble.reassemble(back, ids.select("custom_id", "record_id")).groupBy("rating").agg(F.count("*").alias("n")).withColumn("vendor", F.lit(vendor)))
+    return functools.reduce(lambda a, b: a.union(b), out)
+
+
 # decisions
 
 

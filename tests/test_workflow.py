@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evscreen import cli
 from evscreen.errors import AdjudicationError, AuditError, BatchJobError, InputError, ModelDriftError, ProvenanceError, StoreError
 from evscreen.functions.text import parse_batch_reply, parse_reply
-from evscreen.operators import ablation, audit, confidence, drift, ensemble, prefilter, review
+from evscreen.operators import ablation, audit, codecs, confidence, drift, ensemble, prefilter, review
 from evscreen.operators import provenance as pv
 from evscreen.sources import ingest
 from evscreen.sources.store import RunStore
@@ -212,13 +212,13 @@ def test_seeded_ratings(spark):
     assert row["d"].startswith("7591e207f971da8c") and row["r"] == -1
 
 
-def test_single_and_batch_runs_agree(spark):
+def test_single_and_batch_runs_agree(spark, tmp_path):
     for size in (1, 4):
         own = config(batch_size=size)
         raters = ensemble.build_raters(own, {v: lambda n, s: ensemble.SeededRater(n, 5, s.model) for v in own.vendors})
         key = lambda df: sorted((r["record_id"], r["vendor"], r["rating"]) for r in df.collect())
         single = key(ensemble.run_ensemble(requests(spark), raters, own))
-        services = [ensemble.SeededBatchService(spark, r, pending_polls=2) for r in raters]
+        services = [ensemble.SeededBatchService(spark, str(tmp_path), r, pending_polls=2) for r in raters]
         jobs = ensemble.submit_jobs(requests(spark), services, own, "c", {})
         assert jobs == ensemble.submit_jobs(requests(spark), services, own, "c", jobs)
         waits = []
@@ -258,6 +258,104 @@ def test_services(spark):
         ensemble.job_state("openmodel", "done")
 
 
+def test_packed_requests_to_services(spark):
+    """A chunk is one request, its reply one JSON object; a chunk of one record is asked for as a single one."""
+    def ask(frame):
+        out = []
+        for own, system, user in zip(frame["record_id"], frame["system"], frame["user"]):
+            ids = [line.split()[1].rstrip(":") for line in user.split("\n") if line.startswith("Record ")]
+            packed = "JSON" in system
+            assert packed == (len(ids) > 1) and own.startswith("item-")
+            out.append((json.dumps({i: "IUE"[int(i[-3:]) % 3] for i in reversed(ids)}) if packed else "I", json.dumps({"n": len(ids)}), "m1"))
+        return out
+
+    own = config(("openai",), batch_size=3)
+    got = {r["record_id"]: (r["rating"], r["raw"]) for r in ensemble.run_ensemble(requests(spark, 7), [ensemble.ServiceRater("openai", "m1", ask)], own).collect()}
+    assert got == {f"rec-{i:03d}": (1 if i == 6 else (1, 0, -1)[i % 3], json.dumps({"n": 1 if i == 6 else 3})) for i in range(7)}
+    broken = ensemble.ServiceRater("openai", "m1", lambda f: [('{"rec-000": "I"}', "{}", None) for _ in f["record_id"]])
+    with pytest.raises(Exception, match="no single rating"):
+        ensemble.run_ensemble(requests(spark, 3), [broken], own).collect()
+
+
+class Rehearsal:
+    """A transport that answers by itself: a rating from the record's number, or none for a chunk with rec-004."""
+
+    def __init__(self, vendor, model, states):
+        self.vendor, self.model, self.states = vendor, model, list(states)
+
+    def submit(self, lines):
+        self.lines = lines
+        return "job-1"
+
+    def state(self, provider_id):
+        return self.states.pop(0)
+
+    def results(self, provider_id):
+        ids = F.regexp_extract_all("line", F.lit(r"Record (rec-\d+):"), 1)
+        key = F.coalesce(F.get_json_object("line", "$.custom_id"), F.get_json_object("line", "$.key"))
+        letter = lambda i: F.when(i == "rec-004", "none").otherwise(F.element_at(F.array(*map(F.lit, "IUE")), (F.substring(i, 5, 3).cast("int") % 3 + 1).cast("int")))
+        text = F.when(F.size("ids") > 1, F.to_json(F.map_from_arrays("ids", F.transform("ids", letter)))).otherwise(letter(F.element_at("ids", 1)))
+        return self.lines.withColumn("ids", ids).select("place", codecs.answer(self.vendor, key, text, self.model).alias("line"))
+
+
+DONE = {"anthropic": "ended", "openai": "completed", "google": "BATCH_STATE_SUCCEEDED", "mistral": "SUCCESS", "fireworks": "JOB_STATE_COMPLETED", "together": "COMPLETED"}
+
+
+@pytest.mark.parametrize("vendor", sorted(DONE))
+def test_batch_services(spark, tmp_path, vendor):
+    for size, lost in ((1, {4}), (3, {3, 4, 5})):
+        own = config((vendor,), batch_size=size)
+        transport = Rehearsal(vendor, "m1", ["running", DONE[vendor]])
+        make = lambda n, s: ensemble.ServiceBatch(spark, str(tmp_path), n, codecs.Options("m", logprobs=True), "m1", transport)
+        services = ensemble.build_batch_raters(own, {vendor: make})
+        jobs = ensemble.submit_jobs(requests(spark, 7), services, own, "c", {})
+        jobs = {k: ensemble.Job.from_json(j.to_json()) for k, j in jobs.items()}
+        got = {r["record_id"]: (r["rating"], json.loads(r["raw"])["text"]) for r in ensemble.fetch_jobs(services, jobs, sleep=lambda _: None).collect()}
+        assert {k: v[0] for k, v in got.items()} == {f"rec-{i:03d}": (1, 0, -1)[i % 3] for i in range(7) if i not in lost}
+        if ensemble.SERVICES[vendor]["versioned"] and vendor != "fireworks":
+            transport.model, transport.states = "m2", [DONE[vendor]]
+            with pytest.raises(Exception, match="m2"):
+                ensemble.fetch_jobs(services, jobs).collect()
+    with pytest.raises(InputError):
+        ensemble.build_batch_raters(config((vendor,)), {})
+    with pytest.raises(InputError):
+        ensemble.build_batch_raters(config(("openmodel",)), {"openmodel": None})
+
+
+def test_requests_on_the_wire(spark):
+    df = spark.createDataFrame([("item-1", "be brief", "Rate \"this\"\nnow", 1), ("item-2", "be brief", "Rate all", 3)], "id string, system string, user string, size int")
+    options = codecs.Options("m", 0.5, 8, True)
+    every = {v: [json.loads(r[0]) for r in df.orderBy("id").select(codecs.line(v, options, F.col("id"), F.col("system"), F.col("user"), F.col("size"))).collect()] for v in DONE}
+    chat = lambda limit, n, **more: {"model": "m", limit: 8 if n == 1 else 48, "temperature": 0.5, "messages": [{"role": "system", "content": "be brief"}, {"role": "user", "content": 'Rate "this"\nnow' if n == 1 else "Rate all"}]} | ({"logprobs": True, "top_logprobs": 5} if n == 1 else {})
+    for n, at in ((1, 0), (2, 1)):
+        name, own = f"item-{n}", chat("max_tokens", n)
+        assert every["openai"][at] == {"custom_id": name, "method": "POST", "url": "/v1/chat/completions", "body": chat("max_completion_tokens", n)}
+        assert every["together"][at] == {"custom_id": name, "method": "POST", "url": "/v1/chat/completions", "body": own}
+        assert every["mistral"][at] == {"custom_id": name, "body": own}
+        assert every["fireworks"][at] == {"messages": own["messages"]}
+        assert every["anthropic"][at] == {"custom_id": name, "params": {"model": "m", "max_tokens": own["max_tokens"], "temperature": 0.5, "system": "be brief", "messages": own["messages"][1:]}}
+        ways = {"max_output_tokens": own["max_tokens"], "temperature": 0.5} | ({"response_logprobs": True, "logprobs": 5} if n == 1 else {})
+        assert every["google"][at] == {"key": name, "request": {"contents": [{"parts": [{"text": own["messages"][1]["content"]}]}], "system_instruction": {"parts": [{"text": "be brief"}]}, "generation_config": ways}}
+    live = json.loads(df.orderBy("id").select(codecs.body("openmodel", codecs.Options("m"), F.col("system"), F.col("user"), F.col("size"))).first()[0])
+    assert live == {"model": "m", "max_tokens": 8, "temperature": 0.0, "messages": chat("max_tokens", 1)["messages"]}
+    with pytest.raises(InputError):
+        codecs.line("openmodel", options, F.col("id"), F.col("system"), F.col("user"), F.col("size"))
+    with pytest.raises(InputError):
+        codecs.body("nobody", options, F.col("system"), F.col("user"), F.col("size"))
+
+
+def test_answers_on_the_wire(spark):
+    chat = {"model": "m1", "choices": [{"message": {"role": "assistant", "content": "I"}, "logprobs": {"content": [{"token": "I", "logprob": -0.1}]}}]}
+    live = {"openai": chat, "openmodel": chat, "anthropic": {"model": "m1", "content": [{"type": "text", "text": "I"}, {"type": "tool_use"}, {"type": "text", "text": "!"}]}, "google": {"candidates": [{"content": {"parts": [{"text": "I"}]}, "logprobsResult": {"chosenCandidates": []}}]}}
+    for vendor, reply in live.items():
+        r = spark.createDataFrame([(json.dumps(reply),)], "reply string").select(codecs.answered(vendor, F.col("reply")).alias("r")).first()["r"]
+        assert (r["text"], r["model"]) == ("I!" if vendor == "anthropic" else "I", None if vendor == "google" else "m1") and (r["logprobs"] is not None) == (vendor in ("openai", "google"))
+    failed = {"openai": {"custom_id": "a", "error": {"code": 1}, "response": {"body": chat}}, "anthropic": {"custom_id": "a", "result": {"type": "errored"}}, "google": {"key": "a"}, "fireworks": {"messages": [{"role": "assistant", "content": ""}]}, "together": {"custom_id": "a", "error": "no"}}
+    for vendor, reply in failed.items():
+        r = spark.createDataFrame([(json.dumps(reply),)], "reply string").select(codecs.returned(vendor, F.col("reply"), F.lit(3)).alias("r")).first()["r"]
+        assert r["text"] is None and r["custom_id"] == ("3" if vendor == "fireworks" else "a")
+
+
 def test_ablation_tells_who_helps(spark):
     votes = [(f"r{i}", v, r) for v, own in {"good": (1, 1, -1, -1), "bad1": (-1,) * 4, "bad2": (-1,) * 4}.items() for i, r in enumerate(own, 1)]
     cast = spark.createDataFrame(votes, "record_id string, vendor string, rating int")
