@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import bucketed, discard, drop_tables, settle, text_key, valid
+from .shared import bucketed, discard, drop_tables, release, settle, text_key, valid
 
 LENGTH, ANCHOR, HEAD = 50, 20, 8
 BATCHES = 4
@@ -97,6 +97,7 @@ class SuffixFamily:
             merged = bucketed(self.spark.table(a).union(self.spark.table(b)), "suffix")
             drop_tables(self.spark, a, b)
             self.levels.append((rank + 1, merged))
+        release(self.spark)
 
     def shared(self) -> DataFrame:
         """(key, place): the anchors whose suffix another document has; written, so that the levels can be dropped."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,13 +37,21 @@ def settle(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles and broadcasts that nothing refers to any more: executors keep their files until the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of settled tables that nothing needs any more."""
+    """Delete the files of settled tables that nothing needs any more, and release what made them."""
     for df in tables:
         folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
         for folder in folders:
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    for df in tables[:1]:
+        release(df.sparkSession)
 
 
 def bucketed(df: DataFrame, column: str) -> str:
