@@ -93,6 +93,29 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedd
   SELECT a.vec_id, b.vec_id AS neighbor, round(list_dot_product(a.e, b.e) / (a.size * b.size), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {topk.EVERY} = 0
 )
 SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor)::INTEGER AS rank, neighbor, score FROM scored QUALIFY rank <= 10""",
+    "op4_line_dedup": f"""
+WITH l AS (
+  SELECT doc_id, unnest(range(0, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
+), w AS (
+  SELECT doc_id, n, line, list_sort(list_distinct(regexp_extract_all(lower(line), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'))) AS ws FROM l
+), s AS (
+  SELECT row_number() OVER () AS s, ws, len(ws) AS size, first FROM (SELECT ws, min({{'d': doc_id, 'n': n}}) AS first FROM w WHERE len(ws) > 0 GROUP BY ws)
+), u AS (SELECT s, size, first, unnest(ws) AS word FROM s
+), c AS (SELECT word, count(*) AS c FROM u GROUP BY word
+), p AS (
+  SELECT s, size, first, word FROM u JOIN c USING (word) QUALIFY row_number() OVER (PARTITION BY s ORDER BY c, word) <= size - ceil({lines.THRESHOLD} * size - 1e-9) + 1
+), pairs AS (
+  SELECT DISTINCT x.s AS late, y.s AS early FROM p x JOIN p y ON x.word = y.word AND y.first < x.first AND least(x.size, y.size) >= {lines.THRESHOLD} * greatest(x.size, y.size) - 1e-9
+), matched AS (
+  SELECT late AS s, min(y.first) AS other FROM pairs JOIN s x ON x.s = late JOIN s y ON y.s = early
+  WHERE len(list_intersect(x.ws, y.ws)) >= {lines.THRESHOLD} * (x.size + y.size - len(list_intersect(x.ws, y.ws))) - 1e-9 GROUP BY late
+), kept AS (
+  SELECT doc_id, n, line, coalesce(coalesce(least(other, first), first) < {{'d': doc_id, 'n': n}}, false) AS gone FROM w LEFT JOIN s USING (ws) LEFT JOIN matched USING (s)
+), made AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '') AS new FROM kept GROUP BY doc_id HAVING bool_or(gone)
+)
+SELECT doc_id, coalesce(new, text) AS text, lang, source, CASE WHEN new IS NULL THEN n_chars ELSE length(new) END AS n_chars FROM documents LEFT JOIN made USING (doc_id)
+WHERE new IS NULL OR regexp_matches(lower(new), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]')""",
     "op5_repeated_passages": f"""
 WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS words FROM documents
 ), r AS (

@@ -440,6 +440,55 @@ def test_temperature_lowers_the_loss():
     assert loss(t) <= min(loss(1.0), loss(t * 1.05), loss(t * 0.95)) + 1e-6
 
 
+def test_ngrams_are_counted():
+    texts = ["Ab, c", "", None, "  ", "Größe 9 x", "aaa aaa", "!", "日本 text"]
+    for lo, hi, counts in langid._counts(pa.array(texts)):
+        for text, got in zip(texts[lo:hi], counts):
+            chars = [c if "a" <= c <= "z" or ord(c) > 127 else " " for c in (text or "").lower()]
+            want = np.zeros(langid.DIMENSIONS, np.int64)
+            for size in (1, 2, 3):
+                for i in range(len(chars) - size + 1):
+                    if chars[i] == " " == chars[i + size - 1]:
+                        continue
+                    code = 0
+                    for c in chars[i : i + size]:
+                        code = (code * 0x100000001B3 + ord(c)) % 2**64
+                    want[int(tx.mix(np.array([(code + (size << 50)) % 2**64], np.uint64))[0] >> np.uint64(50))] += 1
+            assert (got == want).all(), text
+
+
+def test_ftrl_is_the_plain_one():
+    """All weights at every step, feature by feature and class by class."""
+    rng = np.random.default_rng(9)
+    rows = [(np.sort(rng.choice(30, 6, replace=False)), rng.random(6), int(rng.integers(3))) for _ in range(40)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.02
+    z, n = np.zeros((30, 3)), np.zeros((30, 3))
+
+    def weight(i, k):
+        return 0.0 if abs(z[i, k]) <= l1 else -(z[i, k] - np.sign(z[i, k]) * l1) / ((beta + np.sqrt(n[i, k])) / alpha + l2)
+
+    for _ in range(3):
+        for slots, x, y in rows:
+            w = np.array([[weight(i, k) for k in range(3)] for i in range(30)])
+            score = np.exp([sum(v * w[i, k] for i, v in zip(slots, x)) for k in range(3)])
+            for i, v in zip(slots, x):
+                for k in range(3):
+                    g = v * (score[k] / score.sum() - (k == y))
+                    z[i, k] += g - (np.sqrt(n[i, k] + g * g) - np.sqrt(n[i, k])) / alpha * w[i, k]
+                    n[i, k] += g * g
+    got = langid.ftrl(rows, 3)
+    assert np.allclose(got[:30], [[weight(i, k) for k in range(3)] for i in range(30)]) and not got[30:].any()
+
+
+def test_the_sample_is_bounded_and_always_the_same(spark):
+    """With ids that are null or repeated, however rows are spread."""
+    rng = random.Random(13)
+    rows = [(None if i % 3 else i % 7, " ".join(rng.choice("ba ra na ka" .split()) + ("x" if i % 2 else "") for _ in range(9)), "ab"[i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (langid.train(df.repartition(n), sample_rows=40) for n in (1, 5))
+    assert one.langs == two.langs and (one.weights == two.weights).all() and one.temperature == two.temperature
+
+
 # 9 SimHash
 
 
@@ -600,6 +649,35 @@ def test_long_values_end_and_come_back():
         signal.signal(signal.SIGALRM, before)
 
 
+def plainly(text, names):
+    """Every kind tried at every place, one after another."""
+    out, at = [], 0
+    while at < len(text):
+        for kind, pattern, make in pii.KINDS:
+            found = pii.re.compile(pattern).match(text, at)
+            new = found and found.end() > at and make(names.feistel, found[0], False)
+            if new:
+                out.append(new)
+                at = found.end()
+                break
+        else:
+            out.append(text[at])
+            at += 1
+    return "".join(out)
+
+
+def test_texts_against_trying_every_kind_everywhere():
+    rng, names = random.Random(19), pii.Pseudonyms(b"key")
+    noise = ["12", "300.1.1.1", "4111 1111 1111 1112", "word", "a@b", "2021-02-30", "+", "(", ") ", ".", " ", "-", "/", "000-12-3456", "1.2.3.4.5", "password", "=", "token: x", "é", "+44", "99999999999999999999"]
+    changed = 0
+    for _ in range(400):
+        text = "".join(rng.choice(["", " ", ", "]) + rng.choice(noise if rng.random() < 0.6 else VALUES) for _ in range(rng.randrange(1, 9)))
+        got, counts = names.apply(text)
+        assert got == plainly(text, names)
+        changed += bool(counts)
+    assert changed > 200
+
+
 def test_invalid_numbers_stay():
     for text in ("4111 1111 1111 1112", "300.1.1.1", "2021-02-30", "000-12-3456", "version 1.2.3.4.5", "12345", "DE00 3704 0044 0532 0130 00"):
         assert pii.Pseudonyms(b"key").apply(text)[0] == text
