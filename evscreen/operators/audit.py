@@ -76,6 +76,10 @@ def gathered(strata: DataFrame) -> DataFrame:
     return strata.sparkSession.createDataFrame(rows, strata.schema)
 
 
+#: Hexadecimal digits of the hash by which draws are counted.
+_BIN_DIGITS = 4
+
+
 def _draw_key(seed: int, record_id: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), record_id), 256)
 
@@ -83,22 +87,25 @@ def _draw_key(seed: int, record_id: Column) -> Column:
 def draw(population: DataFrame, n: int, seed: int, by: str | None = None, plane: str = EXCLUSION) -> DataFrame:
     """(record_id, stratum_kind, stratum, plane): n records without replacement, at once or apportioned to strata.
 
-    Records are ranked by a keyed hash, so that a draw doesn't depend on
-    partitions; ranking within strata is limited before the shuffle.
+    Records are ordered by a keyed hash, so that a draw doesn't depend on
+    partitions. How many records have each leading part of it tells where a
+    stratum's share ends: what lies before is drawn as it is, and only the
+    records of the last part are ranked.
     """
-    key = _draw_key(seed, F.col("record_id"))
-    if by is None:
-        _check_size(n, population.count())
-        return population.select("record_id", key.alias("k")).orderBy("k", "record_id").limit(n).select("record_id", F.lit(ALL).alias("stratum_kind"), F.lit(ALL).alias("stratum"), F.lit(plane).alias("plane"))
-    own = population.withColumn("stratum", F.col(by).cast("string"))
+    own = population.withColumn("stratum", F.col(by).cast("string") if by is not None else F.lit(ALL))
     sizes = gathered(own.groupBy("stratum").agg(F.count("*").alias("size"), F.min("record_id").alias("first_seen")))
     if not sizes.where("stratum is null").isEmpty():
         raise AuditError(f"a record has no {by}")
     _check_size(n, sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     shares = apportion(sizes, n).select("stratum", "allocated")
-    rank = F.row_number().over(Window.partitionBy("stratum").orderBy("k", "record_id"))
-    ranked = own.select("record_id", "stratum", key.alias("k")).withColumn("rank", rank).where(F.col("rank") <= n)
-    return ranked.join(F.broadcast(shares), "stratum").where("rank <= allocated").select("record_id", F.lit(by).alias("stratum_kind"), "stratum", F.lit(plane).alias("plane"))
+    keyed = own.select("record_id", "stratum", _draw_key(seed, F.col("record_id")).alias("k")).withColumn("bin", F.conv(F.substring("k", 1, _BIN_DIGITS), 16, 10).cast("int"))
+    so_far = Window.partitionBy("stratum").orderBy("bin")
+    counts = keyed.groupBy("stratum", "bin").count().withColumn("reached", F.sum("count").over(so_far)).join(F.broadcast(shares), "stratum")
+    cuts = counts.where("reached >= allocated and reached - count < allocated").select("stratum", F.col("bin").alias("cut"), (F.col("allocated") - F.col("reached") + F.col("count")).alias("left"))
+    near = keyed.join(F.broadcast(cuts), "stratum").where("bin <= cut")  # a row for each stratum
+    last = near.where("bin = cut").withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy("k", "record_id"))).where("rank <= left")
+    drawn = near.where("bin < cut").select("record_id", "stratum").union(last.select("record_id", "stratum"))
+    return drawn.select("record_id", F.lit(by if by is not None else ALL).alias("stratum_kind"), "stratum", F.lit(plane).alias("plane"))
 
 
 def draw_like_random(ids_by_stratum: dict[str, list[str]], n: int, seed: int) -> list[tuple[str, str]]:

@@ -44,7 +44,7 @@ def assemble(store: RunStore, flow: dict[str, int], truths: DataFrame, sizes: Da
 
     rows = store.read("audit")
     rows = rows.where("human_label is not null") if rows is not None and "human_label" in rows.columns else None
-    estimate: dict[str, Any] = {}
+    estimate: dict[str, Any] = {"point": None, "floor": None, "exact_floor": None, "ci": None, "audit_n": 0, "audit_budget_note": "", "tp_estimation_method": "full_review", "estimated_true_positives": None}
     if rows is not None and not rows.isEmpty():
         strata = audit.strata(rows, sizes, audit.EXCLUSION)
         inside = store.read("inclusion_audit")
@@ -58,8 +58,8 @@ def assemble(store: RunStore, flow: dict[str, int], truths: DataFrame, sizes: Da
             out = recall.stratified(strata, matrix["tp"], confidence).first()
         n, population = strata.agg(F.sum("n"), F.sum("population")).first()
         estimate = {"point": out["point"], "floor": out["floor"], "exact_floor": out["exact_floor"], "ci": None if out["ci_low"] is None else [out["ci_low"], out["ci_high"]], "audit_n": n, "audit_budget_note": f"{n} of {population} excluded records were audited", "tp_estimation_method": method, "estimated_true_positives": tp}
-    body = {k: v for k, v in pv.config_payload(config).items()}
-    return {"schema_version": SCHEMA_VERSION, "ensemble_config_id": own_id, "epoch": epoch.id, "config": body, "agreement": {"krippendorff_alpha": overall["alpha"], "raw_agreement": overall["raw_agreement"], "pairwise": pairs}, "error_correlation": {"pairwise_fn_on_relevant": errors}, "escalation_rate": rate, "unresolved_escalations": counts["open"], "recall": estimate, "confusion": matrix, "prisma": flow | {"screen_excluded": counts["excluded"], "included": counts["included"]}}
+    body = {"vendors": list(config.vendors), "models": {k: v.model for k, v in config.vendors.items()}, "prompts": {k: v.prompt_version for k, v in config.vendors.items()}, "aggregation": config.aggregation, "tau": config.tau, "batch_size": config.batch_size, "x": config.x, "zero_policy": config.zero_policy}
+    return {"schema_version": SCHEMA_VERSION, "ensemble_config_id": own_id, "epoch": epoch.id, "config": body, "agreement": {"krippendorff_alpha": overall["alpha"], "pairwise": pairs}, "error_correlation": {"pairwise_fn_on_relevant": errors}, "escalation_rate": rate, "unresolved_escalations": counts["open"], "recall": estimate, "confusion": matrix, "prisma": flow | {"screen_excluded": counts["excluded"], "included": counts["included"]}}
 
 
 def to_json(record: dict[str, Any]) -> str:

@@ -494,6 +494,18 @@ def test_commands(spark, tmp_path, capsys):
     record_ = call("validate", "--run-dir", run, "--input", data, "--max-staleness-days", "1")
     assert record_["prisma"]["screened"] == 4 and record_["escalation_rate"] == 0 and record_["recall"]["audit_n"] == len(drawn) and not record_["sentinel_staleness"]["stale"]
     assert record_["confusion"]["tp"] + record_["confusion"]["fn"] == 2
+    keys = {
+        "": "schema_version ensemble_config_id epoch config agreement error_correlation escalation_rate unresolved_escalations recall confusion prisma tau_report sentinel_staleness",
+        "config": "vendors models prompts aggregation tau batch_size x zero_policy",
+        "agreement": "krippendorff_alpha pairwise",
+        "error_correlation": "pairwise_fn_on_relevant",
+        "recall": "point floor exact_floor ci audit_n audit_budget_note tp_estimation_method estimated_true_positives",
+        "confusion": "tp fp fn tn",
+        "prisma": "identified duplicates_removed after_dedup prefilter_excluded screened screen_excluded included",
+    }
+    assert {k: set((record_[k] if k else record_)) for k in keys} == {k: set(v.split()) for k, v in keys.items()}
+    pair = record_["error_correlation"]["pairwise_fn_on_relevant"]
+    assert all(set(v) == {"correlation", "n", "both", "only_a", "only_b", "neither"} and k.count("|") == 1 for k, v in pair.items())
     found = call("ablate", "--run-dir", run, "--input", data, "--tau", "1.0")["results"]
     assert [r["x"] for r in found] == [2, 2, 2, 3] and set(found[3]["leave_one_out"]) == {"mistral", "openai", "together"}
     chosen = call("active-learning-select", "--run-dir", run, "--limit", "2")["selected"]
