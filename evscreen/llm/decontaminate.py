@@ -29,7 +29,7 @@ GRAM = 3
 MIN_SCORE = 0.6
 BITMAP_BITS = 24
 #: Of a part of the items; and of seeds in texts, with each item that owns them, that are held at once unless one text has more.
-ITEM_CHARS, HITS_AT_ONCE = 1 << 21, 1 << 21
+ITEM_CHARS, HITS_AT_ONCE = 1 << 21, 1 << 18
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 

@@ -42,7 +42,7 @@ def _geometric(base: int, n: int) -> np.ndarray:
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, 1 << 21)
+        size = max(n, SLICE_BYTES + 2)
         _powers, _inverses = _geometric(_MULT, size), _geometric(_INV, size)
     return _powers, _inverses
 

@@ -57,9 +57,12 @@ def corpus_weights(texts):
 
 def fingerprint(text, bits, weight=None):
     """Bit by bit: the sign of the sum of the weights, with the projection's sign."""
+    keys = np.random.default_rng(11).integers(0, 2**63, 64, dtype=np.uint64)[: -(-bits // 64)]
     ones = np.zeros(bits)
-    for f in features(text):
-        ones += (1 if weight is None else int(weight[f])) * (2.0 * simhash._projection(bits)[f] - 1)
+    for c in set(map(int, tx.hash_words(tx.plain_words(text)))):
+        raw = b"".join(int(tx.mix(np.array([c ^ int(k)], np.uint64))[0]).to_bytes(8, "little") for k in keys)
+        own = np.array([raw[i // 8] >> 7 - i % 8 & 1 for i in range(bits)])
+        ones += (1 if weight is None else int(weight[c % simhash.FEATURES])) * (2 * own - 1)
     return np.packbits(ones > 0)
 
 
