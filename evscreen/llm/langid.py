@@ -44,8 +44,8 @@ def _counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     data, bounds = tx.raw_bytes(column)
     length = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     for lo, hi in tx.slices(bounds, _SLICE):
-        for at in range(lo, hi, 64):
-            to = min(hi, at + 64)
+        for at in range(lo, hi, 16):
+            to = min(hi, at + 16)
             chars, own = _letters(data[bounds[at] : bounds[to]]), length[at:to]
             if own.sum() != len(chars):
                 raise ValueError("lengths of texts disagree with their bytes")
