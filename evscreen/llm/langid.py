@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import fresh, valid
+from .shared import fresh, lean, valid
 
 DIMENSIONS = 1 << 14
 #: Labelled rows that the model is fitted on, at most; of these every fifth calibrates.
@@ -153,7 +153,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     these, rows without letters are left out.
     """
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("h"), valid(F.col(text_col)).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    table = rows.select("text").mapInArrow(_document_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = rows.select("text").mapInArrow(lean(_document_frequencies), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     found = dict(zip(table.column("slot").to_pylist(), table.column("n").to_pylist()))
     total = found.pop(-1, 0)
     if not total:
@@ -164,7 +164,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     last = labelled.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
     if last is None:
         return None
-    vectors = labelled.where(F.col("h") <= last).select("text", "lang", "h", "t").mapInArrow(_vectors(idf), "lang string, h long, t long, slots array<int>, weights array<float>")
+    vectors = labelled.where(F.col("h") <= last).select("text", "lang", "h", "t").mapInArrow(lean(_vectors(idf)), "lang string, h long, t long, slots array<int>, weights array<float>")
     sample = vectors.orderBy("h", "t", "lang").limit(sample_rows).where(F.size("slots") > 0).toArrow().sort_by([("h", "ascending"), ("t", "ascending"), ("lang", "ascending")])
     langs = sorted(set(sample.column("lang").to_pylist()))
     if not langs:
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     fields += [T.StructField(f"c{len(keep)}", T.StringType()), T.StructField(f"c{len(keep) + 1}", T.DoubleType())]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     given = docs.select(*[F.col(f"`{c}`") for c in keep], valid(F.col(text_col)).alias("scanned text"))
-    return given.toDF(*[f"c{i}" for i in range(len(keep) + 1)]).mapInArrow(_predict(shared, len(keep)), T.StructType(fields)).toDF(*keep, *new)
+    return given.toDF(*[f"c{i}" for i in range(len(keep) + 1)]).mapInArrow(lean(_predict(shared, len(keep))), T.StructType(fields)).toDF(*keep, *new)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: Sequence[str] | None = None, min_confidence: float = MIN_CONFIDENCE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import bitmap, discard, fresh, in_bitmap, matched, settle, text_key, valid
+from .shared import bitmap, discard, fresh, in_bitmap, lean, matched, settle, text_key, valid
 
 THRESHOLD = 0.85
 #: Size of the table of word counts (the counts of words that share an entry are added; any order is exact).
@@ -363,13 +363,13 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), valid(F.col(text_col)).alias("text"))
     place = [T.StructField("id", rows.schema["id"].dataType), T.StructField("key", T.LongType()), T.StructField("line", T.LongType())]
-    scanned = settle(rows.mapInArrow(_scan_lines, T.StructType([T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType()), *place, T.StructField("s", T.LongType())])))
+    scanned = settle(rows.mapInArrow(lean(_scan_lines), T.StructType([T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType()), *place, T.StructField("s", T.LongType())])))
     table = scanned.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     rarity = np.zeros(1 << RARITY_BITS, np.uint8)
     rarity[table.column("bucket").to_numpy()] = np.minimum(255, 8 * np.log2(table.column("n").to_numpy()))
     shared = spark.sparkContext.broadcast(rarity.tobytes())  # of fixed size
 
-    prefixes = rows.select("text").mapInArrow(_prefixes(shared, threshold), "word long, s long, sizes long, parity long")
+    prefixes = rows.select("text").mapInArrow(lean(_prefixes(shared, threshold)), "word long, s long, sizes long, parity long")
     met = settle(prefixes.repartition("word").sortWithinPartitions("word").mapInArrow(_meet(threshold), "word long, s long, sizes long, parity long").distinct())
     shared.destroy()
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/evscreen-{uuid.uuid4().hex}"
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving freed memory back to the system when a task ends: Python workers live on between tasks, and executors pay for what they keep."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+                if trim:
+                    trim(0)
+
+    return held
+
+
 def settle(df: DataFrame, where: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again, which cuts lineage and survives lost executors."""
     spark = df.sparkSession
