@@ -23,6 +23,8 @@ against each, so that no task has more than two of them.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import discard, fresh, lean, matched, settle, text_key, valid
+from .shared import discard, fresh, lean, matched, release, settle, text_key, valid
 
 #: Entries of the table of word weights; words are hashed to them.
 FEATURES = 1 << 16
@@ -43,6 +45,8 @@ ARRANGEMENTS = 3
 #: Bits that go along to the blocks. Of a pair at max_distance more than SKETCH_LIMIT of them differ with a probability of about 1e-6 (the share in the test).
 SKETCH, SKETCH_LIMIT = 64, 24
 FEW, CHUNK = 8, 4096
+#: Fingerprints that the exact search holds at once against as many others, and pairs that it verifies at once.
+HELD, AT_ONCE = 1 << 19, 1 << 17
 
 #: Copies also agree in their runs of words: by a second fingerprint, of SHINGLE_BITS bits and runs of SHINGLE words, of which at most MAX_SHINGLE_DISTANCE differ.
 SHINGLE, SHINGLE_BITS, MAX_SHINGLE_DISTANCE = 3, 256, 102
@@ -309,12 +313,178 @@ def links(distinct: DataFrame, blocks: int, block_bits: int, max_distance: int)
     return edges.union(groups.mapInArrow(_linker(max_distance), "u long, v long"))
 
 
+def parts(bits: int, most: int, rows: int) -> list[tuple[int, int, int]]:
+    """(first bit, width, radius) of parts of fingerprints: two that differ in most bits at most lie within its radius in one part at least.
+
+    Radii plus one sum up to most + 1, so a pair beyond each of them differs in
+    more bits. The width is the cheapest for so many rows, by the values to
+    look up and the pairs that agree by chance.
+    """
+
+    def split(width: int) -> list[tuple[int, int, int]]:
+        n = bits // width
+        own = [(i * width, width, (most + 1) // n + (i < (most + 1) % n) - 1) for i in range(n)]
+        return [(at, width, min(radius, width)) for at, width, radius in own if radius >= 0]
+
+    def cost(own: list[tuple[int, int, int]]) -> float:
+        values = sum(sum(math.comb(width, i) for i in range(radius + 1)) for _, width, radius in own)
+        return values * (4e-5 + rows * 2e-9) + values / 2 ** own[0][1] * rows * rows * 2e-8
+
+    return min((split(width) for width in range(1, min(24, bits) + 1)), key=cost)
+
+
+def _values(fp: np.ndarray, at: int, width: int) -> np.ndarray:
+    """Of rows of bytes the number that is written in width bits from bit at on."""
+    end = -(-(at + width) // 8)
+    out = np.zeros(len(fp), np.int64)
+    for i in range(at // 8, end):
+        out = out << 8 | fp[:, i]
+    return out >> (8 * end - at - width) & ((1 << width) - 1)
+
+
+class _Part:
+    """Rows ordered by their values in one part: the values, where each begins, how many rows it has and the groups among them."""
+
+    def __init__(self, fp: np.ndarray, words: np.ndarray, root: np.ndarray, at: int, width: int):
+        value = _values(fp, at, width)
+        self.order = np.argsort(value, kind="stable")
+        self.value, self.first, self.size = np.unique(value[self.order], return_index=True, return_counts=True)
+        self.words, self.root = words[:, self.order], root[self.order]
+        self.low, self.high = np.minimum.reduceat(self.root, self.first), np.maximum.reduceat(self.root, self.first)
+
+
+def _near_rows(x: _Part, y: _Part, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows, of different groups, within most bits; most are given up after some words."""
+    apart = x.root[a] != y.root[b]
+    a, b = a[apart], b[apart]
+    bits = np.zeros(len(a), np.uint16)
+    for i in range(len(x.words)):
+        bits += np.bitwise_count(x.words[i].take(a) ^ y.words[i].take(b))
+        if i >= 3:
+            near = np.flatnonzero(bits <= most)
+            a, b, bits = a[near], b[near], bits[near]
+    return (a, b) if len(x.words) > 3 else (a[bits <= most], b[bits <= most])
+
+
+def across(fp: np.ndarray, root: np.ndarray, other: np.ndarray | None, other_root: np.ndarray | None, most: int, own: list[tuple[int, int, int]]) -> np.ndarray:
+    """Rows (i, j) for pairs of copies of different groups that lie within the radius in one of the parts own.
+
+    Rows of fp are the bytes of both fingerprints. Pairs are of rows of fp and
+    of other, or of fp alone if that is None. Of each two groups one pair stays.
+    """
+
+    def columns(fp: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(fp), -(-(fp.shape[1] - SHINGLE_BITS // 8) // 8) * 8), np.uint8)
+        out[:, : fp.shape[1] - SHINGLE_BITS // 8] = fp[:, : fp.shape[1] - SHINGLE_BITS // 8]
+        return np.ascontiguousarray(out.view(np.uint64).T)
+
+    alone = other is None
+    words = columns(fp)
+    theirs, their_root, their_words = (fp, root, words) if alone else (other, other_root, columns(other))
+    found = np.zeros((0, 2), np.int64)
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal found
+        a, b = _near_rows(x, y, a, b, most)
+        i, j = x.order[a], y.order[b]
+        near = _near(fp[i], theirs[j], most)
+        if near.any():
+            found = np.concatenate([found, np.stack([i[near], j[near]], 1)])
+            groups = np.sort(np.stack([root[found[:, 0]], their_root[found[:, 1]]], 1), axis=1)
+            found = found[np.unique(groups, axis=0, return_index=True)[1]]
+
+    for at, width, radius in own:
+        x = _Part(fp, words, root, at, width)
+        y = x if alone else _Part(theirs, their_words, their_root, at, width)
+        there, place = np.zeros(1 << width, bool), np.zeros(1 << width, np.int32)
+        there[y.value], place[y.value] = True, np.arange(len(y.value))
+        held, count = [], 0
+        for flips in itertools.chain.from_iterable(itertools.combinations(range(width), n) for n in range(radius + 1)):
+            value = x.value ^ sum(1 << i for i in flips)
+            hit = np.flatnonzero(there.take(value))
+            if alone and flips:  # each pair of values once
+                hit = hit[x.value[hit] < value[hit]]
+            to = place[value[hit]]
+            mixed = (x.low[hit] != x.high[hit]) | (y.low[to] != y.high[to]) | (x.low[hit] != y.low[to])
+            hit, to = hit[mixed], to[mixed]
+            if not len(hit):
+                continue
+            end = np.cumsum(x.size[hit] * y.size[to])
+            for lo in range(0, int(end[-1]), AT_ONCE):
+                if end[-1] == len(hit):
+                    a, b = x.first[hit[lo : lo + AT_ONCE]], y.first[to[lo : lo + AT_ONCE]]
+                else:
+                    n = np.arange(lo, min(lo + AT_ONCE, int(end[-1])))
+                    g = np.searchsorted(end, n, side="right")
+                    n -= end[g] - x.size[hit[g]] * y.size[to[g]]
+                    a, b = x.first[hit[g]] + n // y.size[to[g]], y.first[to[g]] + n % y.size[to[g]]
+                    if alone and not flips:
+                        a, b = a[a < b], b[a < b]
+                held.append((a, b))
+                count += len(a)
+                if count >= AT_ONCE:
+                    keep(*(np.concatenate(c) for c in zip(*held)))
+                    held, count = [], 0
+        if held:
+            keep(*(np.concatenate(c) for c in zip(*held)))
+    return found
+
+
+def _searcher(bits: int, most: int, shares: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list[np.ndarray]]] = {}
+        for batch in batches:
+            task = batch.column(0).to_numpy()
+            for t in np.unique(task):
+                own = pa.array(task == t)
+                held.setdefault(int(t), []).append([batch.column(1).filter(own).to_numpy(), batch.column(2).filter(own).to_numpy(), _rows(batch.column(3).filter(own))])
+        while held:
+            t, rows = held.popitem()
+            chunk, root, fp = (np.concatenate(c) for c in zip(*rows))
+            del rows
+            own = parts(bits, most, len(fp))[t % shares :: shares]
+            if chunk.min() == chunk.max():
+                other = other_root = None
+            else:
+                second = chunk == chunk.max()
+                other, other_root, fp, root = fp[second], root[second], fp[~second], root[~second]
+            pairs = across(fp, root, other, other_root, most, own)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(root[pairs[:, 0]]), pa.array((root if other is None else other_root)[pairs[:, 1]])], ["u", "v"])
+
+    return run
+
+
+def missed(grouped: DataFrame, bits: int, max_distance: int) -> DataFrame:
+    """(u, v), written: roots of groups between which there are copies, of rows (root, both); exact, whatever the blocks found.
+
+    Rows are dealt into chunks of about HELD; each two of them, and each with
+    itself, are a task. Few chunks are shared among tasks by parts.
+    """
+    rows = grouped.count()
+    chunks = max(1, -(-rows // HELD))
+    tasks = chunks * (chunks + 1) // 2
+    shares = max(1, -(-grouped.sparkSession.sparkContext.defaultParallelism // tasks)) if rows > FEW * CHUNK else 1
+    dealt = grouped.select("root", "both", F.pmod(F.xxhash64("both", F.lit(5)), F.lit(chunks)).cast("long").alias("chunk"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    dealt = dealt.withColumn("pair", F.floor(high * (high + 1) / 2) + low).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    dealt = dealt.select((F.col("pair") * shares + F.col("share")).cast("long").alias("task"), "chunk", "root", "both")
+    dealt = dealt.repartitionById(tasks * shares, F.col("task").cast("int"))
+    return settle(dealt.mapInArrow(lean(_searcher(bits, max_distance, shares)), "u long, v long").distinct())
+
+
 def _classes(prints: DataFrame, blocks: int, block_bits: int, max_distance: int) -> DataFrame:
     """(id, key, kept): each row of prints, with the least (id, key) of its group."""
     node = F.xxhash64("fp", "runs").alias("node")
     distinct = settle(prints.groupBy("fp", "runs").agg(F.min(F.struct("id", "key")).alias("n")).select("n", "fp", F.concat("fp", "runs").alias("both"), node))
     roots = components(links(distinct, blocks, block_bits, max_distance))
-    grouped = distinct.join(roots, distinct["node"] == roots["v"], "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    grouped = distinct.join(roots, distinct["node"] == roots["v"], "left").select("node", "n", F.coalesce("root", "node").alias("root"), "both")
+    release(distinct.sparkSession)
+    more = missed(grouped.select("root", "both"), blocks * block_bits, max_distance)
+    if not more.isEmpty():
+        joined = components(more).toDF("part", "whole")
+        grouped = grouped.join(joined, grouped["root"] == joined["part"], "left").select("node", "n", F.coalesce("whole", "root").alias("root"))
     least = grouped.groupBy("root").agg(F.min("n").alias("kept"))
     kept = grouped.join(least, "root").select(F.col("node").alias("own"), "kept")
     rows = prints.select("id", "key", node)

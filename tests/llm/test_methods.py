@@ -565,6 +565,44 @@ def test_crowded_blocks_lose_no_link(spark, monkeypatch, few, chunk):
     assert got == want and len(want) > 80
 
 
+@pytest.mark.parametrize("held", [1 << 19, 60])
+def test_pairs_that_share_no_block_are_linked(spark, monkeypatch, held):
+    """Every pair of copies within the default distance is linked, also those that the blocks miss; in several chunks too."""
+    monkeypatch.setattr(simhash, "HELD", held)
+    rng, docs = random.Random(71), []
+    for i in range(60):
+        words = prose(rng, 120, 5000).split()
+        copy = list(words)
+        for at in rng.sample(range(120), 8):
+            copy[at] = f"edited{i}x{at}"
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    bits = simhash.BLOCKS * simhash.BLOCK_BITS
+    want = brute.copies(docs, bits, simhash.MAX_DISTANCE)
+    met = brute.copies(docs, bits, simhash.MAX_DISTANCE, lambda x, y: brute.meet(x, y, simhash.BLOCKS, simhash.BLOCK_BITS))
+    got = {r["id"]: r["kept_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == want and set(met) < set(want)
+
+
+@pytest.mark.parametrize("bits, most", [(1008, 151), (128, 7), (64, 20)])
+def test_exact_search(bits, most):
+    rng, n = np.random.default_rng(72), 300
+    rows = rng.integers(0, 2, (n, bits), dtype=np.uint8)
+    for i in range(0, n, 2):
+        rows[i + 1] = rows[i]
+        rows[i + 1, rng.permutation(bits)[: rng.integers(0, most + 3)]] ^= 1
+    rng.shuffle(rows)
+    fp, root = np.concatenate([np.packbits(rows, axis=1), np.zeros((n, simhash.SHINGLE_BITS // 8), np.uint8)], axis=1), np.arange(n)
+    root[20:30] = 20
+    near = np.bitwise_count(fp[:, None] ^ fp).sum(axis=2, dtype=int) <= most
+    for first in (n, 100):
+        own = simhash.parts(bits, most, 100_000)
+        other = (None, None) if first == n else (fp[first:], root[first:])
+        found = simhash.across(fp[:first], root[:first], *other, most, own)
+        got = {tuple(sorted((int(root[i]), int(root[j + first % n])))) for i, j in found}
+        pairs = [(i, j) for i in range(first) for j in range(i + 1 if first == n else first, n)]
+        assert got == {tuple(sorted((int(root[i]), int(root[j])))) for i, j in pairs if near[i, j] and root[i] != root[j]} and got
+
+
 def test_long_unrelated_texts_stay(spark):
     """Texts of 300,000 words of one vocabulary are near in words, but no copies; edited copies of them are."""
     rng = np.random.default_rng(61)
