@@ -30,6 +30,8 @@ from .shared import bucketed, discard, drop_tables, release, settle, text_key, v
 
 LENGTH, ANCHOR, HEAD = 50, 20, 8
 BATCHES = 4
+#: Passes over the runs, each over those of its share of codes, so that only as large a share is shuffled at once.
+PASSES = 4
 _BLOCK = 1 << 20  # words handled at once
 
 
@@ -143,6 +145,21 @@ def _runs(length: int, gram: int):
     return run
 
 
+def _later(runs: DataFrame) -> DataFrame:
+    """(id, key, start, source): the runs that an earlier document has, with the least that has them; read from written tables."""
+    document = F.struct("id", "key")
+    out = None
+    for i in range(PASSES):
+        share = runs.where(F.pmod("run", F.lit(PASSES)) == i)
+        # Partial minima and a join, which splits hot keys: a passage of millions of documents isn't one task.
+        first = share.groupBy("run").agg(F.min(document).alias("source"), F.max(document).alias("last")).where(~F.col("source").eqNullSafe(F.col("last"))).drop("last")
+        later = settle(share.join(first, "run").where(~document.eqNullSafe(F.col("source"))).select("id", "key", "start", "source"))
+        out = later if out is None else out.union(later)
+        del share, first
+        release(runs.sparkSession)
+    return out.groupBy("id", "key", "start").agg(F.min("source").alias("source"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, batches: int = BATCHES, anchor: int = ANCHOR, head: int = HEAD) -> DataFrame:
     """(id, key, start_word, end_word, source_id): spans of words that an earlier document has too, in runs of length words.
 
@@ -162,14 +179,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     family = SuffixFamily(docs.sparkSession)
     for i in range(batches):
         family.add(entries.where(F.col("batch") == i).select("suffix", "key", "place"))
-    shared = family.shared().select(F.col("key").alias("doc_"), "places")
+    places = family.shared()
     discard(entries)
+    del family, entries
+    shared = places.select(F.col("key").alias("doc_"), "places")
     found = rows.join(shared, rows["doc"] == shared["doc_"]).select("id", text_key(F.col("text")).alias("key"), "text", "places")
-    runs = found.mapInArrow(_runs(length, anchor), T.StructType([T.StructField("run", T.LongType()), T.StructField("id", rows.schema["id"].dataType), T.StructField("key", T.LongType()), T.StructField("start", T.LongType())]))
-    # Partial minima and a join, which splits hot keys: a passage of millions of documents isn't one task.
-    document = F.struct("id", "key")
-    first = runs.groupBy("run").agg(F.min(document).alias("source"), F.max(document).alias("last")).where(~F.col("source").eqNullSafe(F.col("last"))).drop("last")
-    later = runs.join(first, "run").where(~document.eqNullSafe(F.col("source"))).groupBy("id", "key", "start").agg(F.min("source").alias("source"))
+    runs = settle(found.mapInArrow(_runs(length, anchor), T.StructType([T.StructField("run", T.LongType()), T.StructField("id", rows.schema["id"].dataType), T.StructField("key", T.LongType()), T.StructField("start", T.LongType())])))
+    del shared, found
+    discard(places)
+    later = _later(runs)
+    discard(runs)
     own = Window.partitionBy("id", "key").orderBy("start")
     opens = F.coalesce(F.col("start") > F.lag("start").over(own) + length, F.lit(True)).cast("int")
     spans = later.withColumn("opens", opens).withColumn("span", F.sum("opens").over(own))

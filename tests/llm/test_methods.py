@@ -214,6 +214,15 @@ def test_spans(spark, batches):
     assert got == brute.spans(docs, 8) and got
 
 
+def test_repeated_spans_hold_no_shuffles_of_texts_or_runs(spark):
+    """What is returned reads written tables: no join or scan of texts is under it, whose shuffles would stay until it is read."""
+    docs = [(i, prose(random.Random(i % 3), 120, 5000)) for i in range(9)]
+    out = repeats.repeated_spans(spark.createDataFrame(docs, DOCS))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan
+    assert sorted((r["id"], r["start_word"], r["end_word"], r["source_id"]) for r in out.collect()) == brute.spans(docs, repeats.LENGTH)
+
+
 def test_a_family_keeps_logarithmically_many_levels(spark):
     family = repeats.SuffixFamily(spark)
     for i in range(5):
