@@ -83,6 +83,15 @@ def test_near_dedup_on_its_own_input(spark, tmp_path):
     assert want and got <= set(want) and len(got) >= 0.9 * len(want)
 
 
+def test_stages_begin_with_collected_garbage(spark, tmp_path):
+    fixture(tmp_path, spark)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    collectors = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    before = sum(c.getCollectionCount() for c in collectors)
+    corpus_pipeline.source_mix(spark, docs, str(tmp_path))  # other stages also collect the driver's garbage, which is the same process here
+    assert sum(c.getCollectionCount() for c in collectors) > before
+
+
 def test_stages_take_an_empty_table(spark, tmp_path):
     fixture(tmp_path, spark)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
