@@ -29,18 +29,20 @@ def live_counts(votes: DataFrame, raters: int, late: str = "1 hour") -> DataFram
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = dict(zip(*state.get)) if state.exists else {}
+        newest = max(state.getCurrentWatermarkMs(), 0)  # the watermark is 0 throughout the first batch
         for frame in frames:
             held |= {int(p): int(r) for p, r in zip(frame["pos"], frame["rating"])}
+            newest = max([newest, *map(int, frame["millis"].dropna())])
         done = len(held) >= raters
         if state.hasTimedOut:
             state.remove()
             return
         state.update((list(held), list(held.values())))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + int(pd.Timedelta(late).total_seconds() * 1000) + 1)
+        state.setTimeoutTimestamp(newest + int(pd.Timedelta(late).total_seconds() * 1000) + 1)
         own = list(held.values())
         yield pd.DataFrame({"record_id": [key[0]], "n_neg": [own.count(-1)], "n_zero": [own.count(0)], "n_pos": [own.count(1)], "complete": [done]})
 
-    return votes.withWatermark("ts", late).groupBy("record_id").applyInPandasWithState(step, COUNTS, "pos array<int>, rating array<int>", "update", "EventTimeTimeout")
+    return votes.withWatermark("ts", late).withColumn("millis", F.unix_millis("ts")).groupBy("record_id").applyInPandasWithState(step, COUNTS, "pos array<int>, rating array<int>", "update", "EventTimeTimeout")
 
 
 def live_decisions(votes: DataFrame, raters: int, tau: float, zero_policy: str = "escalate", late: str = "1 hour") -> DataFrame:

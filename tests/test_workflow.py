@@ -4,6 +4,7 @@ import ast
 import json
 import math
 import shutil
+import time
 from pathlib import Path
 
 import pytest
@@ -533,6 +534,18 @@ def test_batch_commands(spark, tmp_path, capsys):
 # streams
 
 
+def test_live_counts_keep_records_without_votes_in_the_second_batch(spark, tmp_path):
+    for i, row in enumerate([("a", 0, 1), ("b", 0, 1), ("a", 1, -1)]):
+        votes = spark.createDataFrame([(*row, f"2026-01-01 00:00:0{i}")], "record_id string, pos int, rating int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        votes.coalesce(1).write.mode("append").parquet(str(tmp_path / "votes"))
+        time.sleep(1.1)  # files are taken by their time
+    stream = spark.readStream.schema(votes.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "votes"))
+    query = live.live_counts(stream, 2).writeStream.format("memory").queryName("live_second").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert [tuple(r)[:4] for r in spark.table("live_second").where("complete").collect()] == [("a", 1, 0, 1)]
+
+
 def test_live_decisions_end_like_the_batch(spark, tmp_path):
     rows = [(f"r{i % 5}", p, (i + p) % 3 - 1, f"2026-01-01 00:00:{i:02d}") for i in range(5) for p in range(3)]
     votes = spark.createDataFrame(rows, "record_id string, pos int, rating int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
