@@ -19,8 +19,12 @@ one has their lists in the order of the corpus and emits for each set its
 earliest candidate, so a group of m near copies gives m pairs. These are
 verified on their words; only where a candidate fails do the later ones of its
 list follow, for that set. Lists over CHUNK rows are cut into chunks, each held
-against each, so that a frequent word isn't one task. Lines to verify are
-fetched by a scan that a bitmap of fixed size thins out before an exact join.
+against each, so that a frequent word isn't one task. The words of sets with a
+partner are fetched once, by a scan that a bitmap of fixed size thins out before
+an exact join.
+
+Rows of the lists move packed, some hundreds in one, by parts of the words that
+each fit a task; a task with more passes its lists on as they are.
 """
 
 from __future__ import annotations
@@ -42,6 +46,10 @@ THRESHOLD = 0.85
 RARITY_BITS = 18
 #: Size of the bitmap of lines to verify.
 WANTED_BITS = 26
+#: Bytes of text scanned at once; the temporaries take 8 for each, and at this size they stay in a core's own cache.
+SLICE = 1 << 18
+#: Word counts in a row, slots that hold the sets met of late, list rows that are packed at once and in a row (which bounds a batch of rows), and the most that one task matches.
+SLOTS, SEEN, PACK, PACKED, PART = 1 << 10, 1 << 18, 1 << 18, 1 << 8, 1 << 20
 _LINES = 17  # bits of a line's number in a sort key
 _CODE = 39  # bits of a word's code in a sort key
 _CHUNK = 1 << 21  # pairs compared at once
@@ -87,43 +95,73 @@ def _set_code(first: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line with words; at the end, rows of word counts."""
+    """A row for each line with words; at the end, rows of SLOTS word counts each."""
     counts = np.zeros(1 << RARITY_BITS, np.int64)
-    names = ["bucket", "n", "id", "key", "line", "s"]
+    names = ["bucket", "counts", "id", "key", "line", "s"]
     kind = None
     for batch in batches:
         kind = batch.column(0).type
-        for w in tx.words(batch.column(2)):
+        for w in tx.words(batch.column(2), SLICE):
             for rows, number, first, code in _line_words(w, None):
                 counts += np.bincount((code >> np.uint64(_CODE - RARITY_BITS)).astype(np.int64), minlength=len(counts))
                 at = pa.array(rows + w.lo)
-                none = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, batch.column(0).take(at), batch.column(1).take(at), pa.array(number), pa.array(_set_code(first, code))], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(number), pa.array(_set_code(first, code))], names)
     if kind is not None:
-        at = np.flatnonzero(counts)
-        none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at]), pa.nulls(len(at), kind), none, none, none], names)
+        raw = [x.tobytes() for x in counts.reshape(-1, SLOTS)]
+        none = pa.nulls(len(raw), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(raw))), pa.array(raw, pa.binary()), pa.nulls(len(raw), kind), none, none, none], names)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of counts (bucket, counts), those of a bucket added."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            total[bucket] = total.get(bucket, 0) + np.frombuffer(raw.as_buffer(), np.int64)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["bucket", "counts"])
+
+
+def _packed(rows: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, rows): list rows of 4 numbers, the word first, packed by its part, at most PACKED in a row."""
+    for lo in range(0, len(rows), 1 << 22):
+        some = rows[lo : lo + (1 << 22)]
+        part = ((tx.mix(some[:, 0].view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        some, part = some[order], part[order]
+        opens = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        place = np.arange(len(part)) - np.repeat(opens, np.diff(np.r_[opens, len(part)]))
+        cut = np.flatnonzero(place % PACKED == 0)
+        bounds = (np.r_[cut, len(part)] * 32).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(bounds), pa.py_buffer(some)])], ["part", "rows"])
 
 
-def _prefixes(rarity, threshold: float):
+def _prefixes(rarity, threshold: float, parts: int):
+    """The prefix words of each set, (word, s, sizes, parity), packed by parts of the words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(rarity.value, np.uint8).astype(np.uint64)
-        seen = np.zeros(0, np.int64)
+        seen = ~np.arange(SEEN)  # no number that belongs in its slot
+        held, total = [], 0
         for batch in batches:
-            for w in tx.words(batch.column(0)):
+            for w in tx.words(batch.column(0), SLICE):
                 for _, _, first, code in _line_words(w, table):
                     size = np.diff(np.r_[first, len(code)])
                     sets = _set_code(first, code)
                     parity = np.bitwise_xor.reduceat(np.uint64(1) << (tx.mix(code) >> np.uint64(58)), first).view(np.int64)
                     _, keep = np.unique(sets, return_index=True)
-                    keep = keep[~np.isin(sets[keep], seen) & (size[keep] >= threshold * (size[keep] + 1) - 1e-9)]  # smaller ones match equal sets only
-                    seen = np.union1d(seen, sets[keep])
-                    if len(seen) > 1 << 20:  # repeats beyond this are collapsed where the words meet
-                        seen = np.zeros(0, np.int64)
+                    keep = keep[(seen[sets[keep] & (SEEN - 1)] != sets[keep]) & (size[keep] >= threshold * (size[keep] + 1) - 1e-9)]  # smaller ones match equal sets only
+                    seen[sets[keep] & (SEEN - 1)] = sets[keep]  # repeats of sets that lost their slot are collapsed where the words meet
                     many = prefix_length(size[keep], threshold)
                     at = np.repeat(keep, many)
                     place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    yield pa.RecordBatch.from_arrays([pa.array(code[first[at] + place].view(np.int64)), pa.array(sets[at]), pa.array((size[at] << 24) | place), pa.array(parity[at])], ["word", "s", "sizes", "parity"])
+                    held.append(np.stack([code[first[at] + place].view(np.int64), sets[at], (size[at] << 24) | place, parity[at]], 1))
+                    total += len(at)
+                    if total >= PACK:
+                        yield from _packed(np.concatenate(held), parts)
+                        held, total = [], 0
+        if total:
+            yield from _packed(np.concatenate(held), parts)
 
     return run
 
@@ -169,37 +207,51 @@ _LIST = ["word", "s", "sizes", "parity"]
 
 
 def _meet(threshold: float):
-    """Of rows ordered by word those that partnered finds; lists over CHUNK rows whole."""
+    """Of packed rows, all those of a word in one task, what partnered finds; lists over CHUNK rows whole, and all of a task that has more than PART."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
-        over = None  # the word whose list is known to be long
+        held, total, over = [], 0, False
 
-        def out(rows: list[np.ndarray], at: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in rows], _LIST)
+        def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if len(rows[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], _LIST)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
-            word = rows[0]
-            cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            size = np.diff(np.r_[cut, len(word)])
-            many = np.repeat(size, size)
-            long, last = many > CHUNK, np.arange(len(word)) >= cut[-1]
-            if over is not None:
-                long |= word == over
-            yield from out(rows, np.flatnonzero(long))
-            now = np.flatnonzero(~long & ~last & (many > 1))
-            yield from out(rows, now[partnered(*(x[now] for x in rows), threshold)])
-            over = int(word[-1]) if long[-1] else None
-            held = [x[last & ~long] for x in rows]
-        yield from out(held, partnered(*held, threshold))
+            held += [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 4) for x in batch.column(0)]
+            total = sum(map(len, held))
+            if over or total > PART:
+                over = True
+                for rows in held:
+                    yield from out([np.ascontiguousarray(x) for x in rows.T])
+                held = []
+        if not held:
+            return
+        rows = np.concatenate(held)
+        del held
+        order = np.argsort(rows[:, 0])
+        columns = [rows[:, i][order] for i in range(4)]
+        size = _sizes(columns[0])
+        yield from out([x[size > CHUNK] for x in columns])
+        columns = [x[(size > 1) & (size <= CHUNK)] for x in columns]
+        opens = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]][: len(columns[0])])
+        lo = 0
+        while lo < len(columns[0]):  # lists of some thousand rows at once
+            after = np.searchsorted(opens, lo + CHUNK)
+            hi = int(opens[after]) if after < len(opens) else len(columns[0])
+            some = [x[lo:hi] for x in columns]
+            at = partnered(*some, threshold)
+            yield from out([x[at] for x in some])
+            lo = hi
 
     return run
 
 
+def _sizes(word: np.ndarray) -> np.ndarray:
+    """Of each row of ordered lists, the rows of its list."""
+    size = np.diff(np.r_[np.flatnonzero(np.r_[True, word[1:] != word[:-1]]), len(word)])
+    return np.repeat(size, size)
+
+
 def earliest(group: np.ndarray, n: np.ndarray, place: np.ndarray, parity: np.ndarray, threshold: float) -> np.ndarray:
     """For each row of lists in the order of the corpus the first earlier row of its list that is a candidate; -1 for none."""
     first = np.full(len(n), len(n))
@@ -283,25 +335,32 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _wanted_lines(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = np.frombuffer(shared.value, np.uint8)
+        bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             texts = pc.fill_null(tx.as_array(batch.column(2)), "")
             data, bounds = tx.raw_bytes(texts)
             doc = batch.column(0).to_numpy()
-            many = np.diff(np.searchsorted(np.flatnonzero(data == 10), bounds)) + 1
+            newlines = np.flatnonzero(data == 10)
+            many = np.diff(np.searchsorted(newlines, bounds)) + 1
             row = np.repeat(np.arange(len(many)), many)
             line = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            hit = np.flatnonzero(in_bitmap(raw, _line_code(doc[row], line), WANTED_BITS))
-            row, line = row[hit], line[hit]
-            content, now, parts = [], -1, []
-            for r, n in zip(row, line):
-                if r != now:
-                    now, parts = r, texts[int(r)].as_py().split("\n")
-                content.append(parts[n])
-            sets = []
-            for w in tx.words(pa.array(content, pa.string())):
-                sets += [np.unique(w.code[w.first[i] : w.first[i + 1]]).view(np.int64) for i in range(w.hi - w.lo)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), batch.column(1).take(pa.array(row)), pa.array(line), pa.array(sets, pa.list_(pa.int64()))], ["doc", "key", "line", "words"])
+            hit = np.flatnonzero(in_bitmap(bits, _line_code(doc[row], line), WANTED_BITS))
+            start, end = bounds[:-1].repeat(many), bounds[1:].repeat(many)  # a row's first line starts with it, its last one ends with it
+            start[line > 0] = newlines + 1
+            end[np.r_[line[1:] > 0, False]] = newlines
+            row, line, start, end = row[hit], line[hit], start[hit], end[hit]
+            raw = memoryview(data)
+            content = pa.py_buffer(b"".join([raw[a:b] for a, b in zip(start.tolist(), end.tolist())]))
+            code, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+            for w in tx.words(pa.Array.from_buffers(pa.large_string(), len(hit), [None, pa.py_buffer(np.cumsum(np.r_[0, end - start])), content]), SLICE):
+                own = tx.row_of(w.first)
+                order = np.lexsort((w.code, own))
+                own, now = own[order], w.code[order]
+                once = np.r_[True, (own[1:] != own[:-1]) | (now[1:] != now[:-1])][: len(now)]
+                code.append(now[once])
+                sizes.append(np.bincount(own[once], minlength=w.hi - w.lo))
+            sets = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(code).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), batch.column(1).take(pa.array(row)), pa.array(line), sets], ["doc", "key", "line", "words"])
 
     return run
 
@@ -321,7 +380,7 @@ def _fetch(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     asked = firsts.select("s", "at", doc.alias("doc"), "at.key", "at.line")
     shared = bitmap(asked.select("doc", "line").mapInArrow(_codes, "code long"), WANTED_BITS)
     found = rows.select(F.xxhash64("id", "key").alias("doc"), "key", "text").mapInArrow(_wanted_lines(shared), "doc long, key long, line long, words array<long>")
-    out = settle(found.join(asked, ["doc", "key", "line"]).select("s", "at", "words").dropDuplicates(["s"]))
+    out = settle(found.join(asked, ["doc", "key", "line"]).dropDuplicates(["doc", "key", "line"]).select("s", "at", "words"))  # in the order of the join, so it moves nothing
     shared.destroy()
     return out
 
@@ -363,14 +422,18 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), valid(F.col(text_col)).alias("text"))
     place = [T.StructField("id", rows.schema["id"].dataType), T.StructField("key", T.LongType()), T.StructField("line", T.LongType())]
-    scanned = settle(rows.mapInArrow(lean(_scan_lines), T.StructType([T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType()), *place, T.StructField("s", T.LongType())])))
-    table = scanned.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    rarity = np.zeros(1 << RARITY_BITS, np.uint8)
-    rarity[table.column("bucket").to_numpy()] = np.minimum(255, 8 * np.log2(table.column("n").to_numpy()))
+    scanned = settle(rows.mapInArrow(lean(_scan_lines), T.StructType([T.StructField("bucket", T.LongType()), T.StructField("counts", T.BinaryType()), *place, T.StructField("s", T.LongType())])))
+    counts = scanned.where("bucket is not null").select("bucket", "counts").mapInArrow(_added, "bucket long, counts binary")
+    table = counts.repartition("bucket").mapInArrow(_added, counts.schema).toArrow()
+    count = np.zeros(((1 << RARITY_BITS) // SLOTS, SLOTS), np.int64)
+    for bucket, raw in zip(table.column(0).to_pylist(), table.column(1).to_pylist()):
+        count[bucket] = np.frombuffer(raw, np.int64)
+    rarity = np.minimum(255, 8 * np.log2(np.maximum(count.ravel(), 1))).astype(np.uint8)
+    parts = 1 + int(count.sum() * (1.15 - threshold)) // PACK
     shared = spark.sparkContext.broadcast(rarity.tobytes())  # of fixed size
 
-    prefixes = rows.select("text").mapInArrow(lean(_prefixes(shared, threshold)), "word long, s long, sizes long, parity long")
-    met = settle(prefixes.repartition("word").sortWithinPartitions("word").mapInArrow(_meet(threshold), "word long, s long, sizes long, parity long").distinct())
+    prefixes = rows.select("text").mapInArrow(lean(_prefixes(shared, threshold, parts)), "part int, rows binary")
+    met = settle(prefixes.repartitionById(parts, "part").select("rows").mapInArrow(lean(_meet(threshold)), "word long, s long, sizes long, parity long").distinct())
     shared.destroy()
 
     # Sets with a partner, and those of several lines; all others are of no more use.
@@ -381,16 +444,13 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     lists = _lists(met, firsts.where("asked").select("s", "at"))
     kinds = "word long, lo int, hi int, s long, other long"
     found = settle(_ordered(lists).mapInArrow(_by_list(threshold, _first_pairs), kinds))
-    pairs = found.select("s", "other").distinct()
-    wanted = pairs.select("s").union(pairs.select("other")).distinct()
-    sets = _fetch(rows, firsts.join(wanted, "s", "left_semi").select("s", "at"))
-    true = _true(pairs, sets, threshold)
+    sets = _fetch(rows, firsts.where("asked").select("s", "at"))  # nearly all are in a first pair, and later pairs need no more
+    true = _true(found.select("s", "other").distinct(), sets, threshold)
     failed = settle(found.join(true, ["s", "other"], "left_anti").select("word", "lo", "hi", "s"))
     if not failed.isEmpty():
         again = lists.join(failed.select("word", "lo", "hi").distinct(), ["word", "lo", "hi"], "left_semi").join(failed.withColumn("failed", F.lit(True)), ["word", "lo", "hi", "s"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
         more = settle(_ordered(again.select("word", "lo", "hi", "s", "sizes", "parity", "failed", "at")).mapInArrow(_by_list(threshold, _later_pairs), "s long, other long").distinct())
-        wanted = more.select("s").union(more.select("other")).distinct()
-        true = true.union(_true(more, _fetch(rows, firsts.join(wanted, "s", "left_semi").select("s", "at")), threshold))
+        true = true.union(_true(more, sets, threshold))
 
     # Only lines of sets that are repeated or matched move once more.
     best = true.groupBy("s").agg(F.min("at").alias("other"))
@@ -418,12 +478,13 @@ def drop_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = matches(docs, id_col, text_col, threshold).groupBy("id", "key").agg(F.collect_set(F.col("line").cast("int")).alias("gone"))
     key, left = fresh(docs, "row_key", "row_text")
     rows = docs.withColumn(key, text_key(F.col(text_col)))
-    gone = gone.toDF(*fresh(rows, "gone_id", "gone_key", "gone_lines"))
+    gone = gone.toDF(*fresh(rows, "gone_id", "gone_key", "gone_lines")).hint("shuffle_hash")  # a row for each document: texts needn't be sorted
     g = gone.columns
     out = matched(rows, gone, {id_col: g[0], key: g[1]}, "left")
     lost = F.col(g[2]).isNotNull()
-    out = out.withColumn(left, F.when(lost, F.array_join(F.filter(F.split(valid(F.col(text_col)), "\n", -1), lambda x, i: ~F.array_contains(F.col(g[2]), i)), "\n")).otherwise(F.col(text_col)))
-    if drop_emptied:
-        out = out.where(~lost | F.lower(left).rlike("[0-9a-z\\x{80}-\\x{10FFFF}]"))
+    text = F.when(lost, F.array_join(F.filter(F.split(valid(F.col(text_col)), "\n", -1), lambda x, i: ~F.array_contains(F.col(g[2]), i)), "\n")).otherwise(F.col(text_col))
+    # One row or none: a where on the new text would make it twice.
+    kept = F.filter(F.array(text), lambda x: ~lost | F.lower(x).rlike("[0-9a-z\\x{80}-\\x{10FFFF}]")) if drop_emptied else F.array(text)
+    out = out.withColumn(left, F.explode(kept))
     new = {text_col: F.col(left)} | ({length_col: F.when(lost, F.length(left)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)} if length_col else {})
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

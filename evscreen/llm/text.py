@@ -93,11 +93,11 @@ def slices(bounds: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, i
         lo = hi
 
 
-def words(column: pa.Array | pa.ChunkedArray) -> Iterator[Words]:
+def words(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[Words]:
     """Scan a column slice by slice; the slices together cover every row."""
     column = pc.utf8_lower(pc.fill_null(as_array(column), ""))
     data, bounds = raw_bytes(column)
-    for lo, hi in slices(bounds):
+    for lo, hi in slices(bounds, most):
         part, own = data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
         yield _scan(lo, hi, part, own)
 

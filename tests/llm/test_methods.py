@@ -199,6 +199,35 @@ def test_near_copies_give_few_pairs():
         assert (first[opens] == -1).all() and (np.delete(first, opens) == np.delete(np.repeat(opens, np.diff(np.r_[opens, 5000])), opens)).all()
 
 
+def test_words_are_fetched_once(spark, monkeypatch):
+    """Candidates that fail and their successors are verified on the same words: no second scan of the texts."""
+    calls = []
+    monkeypatch.setattr(lines, "_fetch", lambda *a, own=lines._fetch: calls.append(a) or own(*a))
+    words = [f"w{i}" for i in range(3000) if int(tx.mix(tx.hash_words([f"w{i}"]) >> np.uint64(64 - lines._CODE))[0] >> np.uint64(58)) == 7][:16]
+    rng = random.Random(22)
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(10, 16)))) for i in range(120)]
+    got = {(r["id"], r["line"]): (r["first_id"], r["first_line"]) for r in lines.matches(spark.createDataFrame(docs, DOCS), threshold=0.7).collect()}
+    assert got == brute.line_matches(docs, 0.7) and len(calls) == 1
+
+
+@pytest.mark.parametrize("part, packed", [(1 << 20, 256), (1 << 20, 3), (100, 7)])
+def test_packed_lists(monkeypatch, part, packed):
+    """Of packed lists the rows with a partner are kept, as of whole ones; of a task with too many rows, all."""
+    monkeypatch.setattr(lines, "PART", part)
+    monkeypatch.setattr(lines, "PACKED", packed)
+    rng = np.random.default_rng(5)
+    word, s = rng.integers(0, 400, 3000), rng.integers(-900, 900, 3000)
+    rows = np.stack([word, s, (5 + s % 55 << 24) | (s + word) % 3, s & 7], 1)
+    got = []
+    batches = list(lines._packed(rows, 3))
+    for p in range(3):
+        own = [b.filter(pa.compute.equal(b.column(0), p)).select(["rows"]) for b in batches]
+        own = [b.slice(i, 5) for b in own for i in range(0, b.num_rows, 5)]
+        got += [r for b in lines._meet(0.85)(iter(own)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    want = rows[lines.partnered(*rows.T, 0.85)] if part > 3000 else rows
+    assert sorted(got) == sorted(tuple(map(int, r)) for r in want) and 0 < len(want) and (len(want) < 2900 or part < 3000)
+
+
 # 5 repeated passages
 
 
