@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,8 @@ ARRANGEMENTS = 3
 #: Bits that go along to the blocks. Of a pair at max_distance more than SKETCH_LIMIT of them differ with a probability of about 1e-6 (the share in the test).
 SKETCH, SKETCH_LIMIT = 64, 24
 FEW, CHUNK = 8, 4096
-#: Fingerprints that the exact search holds at once against as many others, and pairs that it verifies at once.
-HELD, AT_ONCE = 1 << 19, 1 << 17
+#: Fingerprints that the exact search holds at once against as many others, values that it looks up and pairs that it verifies at once.
+HELD, LOOKED_UP, AT_ONCE = 1 << 19, 1 << 15, 1 << 17
 
 #: Copies also agree in their runs of words: by a second fingerprint, of SHINGLE_BITS bits and runs of SHINGLE words, of which at most MAX_SHINGLE_DISTANCE differ.
 SHINGLE, SHINGLE_BITS, MAX_SHINGLE_DISTANCE = 3, 256, 102
@@ -328,7 +328,7 @@ def parts(bits: int, most: int, rows: int) -> list[tuple[int, int, int]]:
 
     def cost(own: list[tuple[int, int, int]]) -> float:
         values = sum(sum(math.comb(width, i) for i in range(radius + 1)) for _, width, radius in own)
-        return values * (4e-5 + rows * 2e-9) + values / 2 ** own[0][1] * rows * rows * 2e-8
+        return values * (4e-5 + rows * 3e-9) + values / 2 ** own[0][1] * rows * rows * 1e-8
 
     return min((split(width) for width in range(1, min(24, bits) + 1)), key=cost)
 
@@ -343,93 +343,140 @@ def _values(fp: np.ndarray, at: int, width: int) -> np.ndarray:
 
 
 class _Part:
-    """Rows ordered by their values in one part: the values, where each begins, how many rows it has and the groups among them."""
+    """Rows ordered by their values in the first part of a chain: their groups and values, there and in the whole chain; the different values, where each begins, how many rows it has and the groups among them."""
 
-    def __init__(self, fp: np.ndarray, words: np.ndarray, root: np.ndarray, at: int, width: int):
-        value = _values(fp, at, width)
+    def __init__(self, fp: np.ndarray, root: np.ndarray, chain: list[tuple[int, int, int]]):
+        value = _values(fp, *chain[0][:2])
         self.order = np.argsort(value, kind="stable")
-        self.value, self.first, self.size = np.unique(value[self.order], return_index=True, return_counts=True)
-        self.words, self.root = words[:, self.order], root[self.order]
+        self.value, self.root = value[self.order], root[self.order]
+        self.first = np.flatnonzero(np.r_[True, self.value[1:] != self.value[:-1]])
+        self.different, self.size = self.value[self.first], np.diff(np.r_[self.first, len(value)])
         self.low, self.high = np.minimum.reduceat(self.root, self.first), np.maximum.reduceat(self.root, self.first)
+        self.chain = self.value.astype(np.uint64)
+        for at, width, _ in chain[1:]:
+            self.chain = self.chain << np.uint64(width) | _values(fp, at, width)[self.order].astype(np.uint64)
+
+
+def _words(fp: np.ndarray) -> np.ndarray:
+    """Rows of the bytes of both fingerprints as whole words, those of the second last; no copy of rows that are padded so already."""
+    first = fp.shape[1] - SHINGLE_BITS // 8
+    if first % 8 == 0 and fp.flags.c_contiguous:
+        return fp.view(np.uint64)
+    out = np.zeros((len(fp), -(-first // 8) * 8 + SHINGLE_BITS // 8), np.uint8)
+    out[:, :first], out[:, -SHINGLE_BITS // 8 :] = fp[:, :first], fp[:, first:]
+    return out.view(np.uint64)
+
+
+def _flips(width: int, radius: int, once: bool) -> Iterator[tuple[int | None, int]]:
+    """(highest bit, mask) of all sets of at most radius of width bits; the highest is None if a pair of values may come twice."""
+    yield None, 0
+    for top in range(width):
+        for n in range(radius):
+            for rest in itertools.combinations(range(top), n):
+                yield top if once else None, 1 << top | sum(1 << i for i in rest)
+
+
+def _crossed(x: _Part, y: _Part, row: np.ndarray, to: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of x, each with the rows of its value of y, about AT_ONCE at most at once (more only for one row's); not with values of more than FEW rows that all are of its group."""
+    count = y.size.take(to)
+    large = np.flatnonzero(count > FEW)
+    if len(large):
+        low = y.low.take(to.take(large))
+        left = np.ones(len(row), bool)
+        left[large] = (low != y.high.take(to.take(large))) | (low != x.root.take(row.take(large)))
+        row, to, count = row[left], to[left], count[left]
+    begin, end = y.first.take(to), np.cumsum(count)
+    begin -= end - count
+    lo = 0
+    while lo < len(row):
+        before = int(end[lo - 1]) if lo else 0
+        hi = len(row) if end[-1] <= before + AT_ONCE else max(lo + 1, int(np.searchsorted(end, before + AT_ONCE, side="right")))
+        yield np.repeat(row[lo:hi], count[lo:hi]), np.arange(before, end[hi - 1]) + np.repeat(begin[lo:hi], count[lo:hi])
+        lo = hi
+
+
+def _copies(words: np.ndarray, their_words: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """_near() of rows i and j, in whole words."""
+    apart, tail = np.bitwise_count(words[i] ^ their_words[j]), SHINGLE_BITS // 64
+    return (apart[:, :-tail].sum(axis=1, dtype=np.int64) <= most) & (apart[:, -tail:].sum(axis=1, dtype=np.int64) <= MAX_SHINGLE_DISTANCE)
 
 
-def _near_rows(x: _Part, y: _Part, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of rows, of different groups, within most bits; most are given up after some words."""
-    apart = x.root[a] != y.root[b]
-    a, b = a[apart], b[apart]
-    bits = np.zeros(len(a), np.uint16)
-    for i in range(len(x.words)):
-        bits += np.bitwise_count(x.words[i].take(a) ^ y.words[i].take(b))
-        if i >= 3:
-            near = np.flatnonzero(bits <= most)
-            a, b, bits = a[near], b[near], bits[near]
-    return (a, b) if len(x.words) > 3 else (a[bits <= most], b[bits <= most])
-
-
-def across(fp: np.ndarray, root: np.ndarray, other: np.ndarray | None, other_root: np.ndarray | None, most: int, own: list[tuple[int, int, int]]) -> np.ndarray:
-    """Rows (i, j) for pairs of copies of different groups that lie within the radius in one of the parts own.
+def across(fp: np.ndarray, root: np.ndarray, other: np.ndarray | None, other_root: np.ndarray | None, most: int, own: list[tuple[int, int, int]], starts: Sequence[int] | None = None) -> np.ndarray:
+    """Rows (i, j) for pairs of copies of different groups, of those that are found from one of the parts own (numbered starts, if given).
 
     Rows of fp are the bytes of both fingerprints. Pairs are of rows of fp and
     of other, or of fp alone if that is None. Of each two groups one pair stays.
-    """
-
-    def columns(fp: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(fp), -(-(fp.shape[1] - SHINGLE_BITS // 8) // 8) * 8), np.uint8)
-        out[:, : fp.shape[1] - SHINGLE_BITS // 8] = fp[:, : fp.shape[1] - SHINGLE_BITS // 8]
-        return np.ascontiguousarray(out.view(np.uint64).T)
 
+    own is a ring of all parts. Radii plus one sum up to most + 1 and a pair's
+    bits in them to most at most, so from one part on, around the ring, the
+    bits in the first part, the first two, the first three ... all stay below
+    the sum of their radii plus one (the cycle lemma). Pairs are therefore
+    held to that sum over as many parts as a word holds; few others pass.
+    """
     alone = other is None
-    words = columns(fp)
-    theirs, their_root, their_words = (fp, root, words) if alone else (other, other_root, columns(other))
+    words = _words(fp)
+    theirs, their_root, their_words = (fp, root, words) if alone else (other, other_root, _words(other))
     found = np.zeros((0, 2), np.int64)
 
-    def keep(a: np.ndarray, b: np.ndarray) -> None:
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal found
-        a, b = _near_rows(x, y, a, b, most)
-        i, j = x.order[a], y.order[b]
-        near = _near(fp[i], theirs[j], most)
-        if near.any():
-            found = np.concatenate([found, np.stack([i[near], j[near]], 1)])
-            groups = np.sort(np.stack([root[found[:, 0]], their_root[found[:, 1]]], 1), axis=1)
-            found = found[np.unique(groups, axis=0, return_index=True)[1]]
-
-    for at, width, radius in own:
-        x = _Part(fp, words, root, at, width)
-        y = x if alone else _Part(theirs, their_words, their_root, at, width)
+        for lo in range(0, len(i), AT_ONCE):
+            a, b = i[lo : lo + AT_ONCE], j[lo : lo + AT_ONCE]
+            near = _copies(words, their_words, a, b, most)
+            if near.any():
+                found = np.concatenate([found, np.stack([a[near], b[near]], 1)])
+                groups = np.sort(np.stack([root[found[:, 0]], their_root[found[:, 1]]], 1), axis=1)
+                found = found[np.unique(groups, axis=0, return_index=True)[1]]
+
+    for k in range(len(own)) if starts is None else starts:
+        width, radius = own[k][1:]
+        chain = [own[(k + i) % len(own)] for i in range(min(64 // width, len(own)))]
+        bound = sum(r + 1 for _, _, r in chain) - 1
+        x = _Part(fp, root, chain)
+        y = x if alone else _Part(theirs, their_root, chain)
         there, place = np.zeros(1 << width, bool), np.zeros(1 << width, np.int32)
-        there[y.value], place[y.value] = True, np.arange(len(y.value))
+        there[y.different], place[y.different] = True, np.arange(len(y.different))
         held, count = [], 0
-        for flips in itertools.chain.from_iterable(itertools.combinations(range(width), n) for n in range(radius + 1)):
-            value = x.value ^ sum(1 << i for i in flips)
-            hit = np.flatnonzero(there.take(value))
-            if alone and flips:  # each pair of values once
-                hit = hit[x.value[hit] < value[hit]]
-            to = place[value[hit]]
-            mixed = (x.low[hit] != x.high[hit]) | (y.low[to] != y.high[to]) | (x.low[hit] != y.low[to])
-            hit, to = hit[mixed], to[mixed]
-            if not len(hit):
-                continue
-            end = np.cumsum(x.size[hit] * y.size[to])
-            for lo in range(0, int(end[-1]), AT_ONCE):
-                if end[-1] == len(hit):
-                    a, b = x.first[hit[lo : lo + AT_ONCE]], y.first[to[lo : lo + AT_ONCE]]
-                else:
-                    n = np.arange(lo, min(lo + AT_ONCE, int(end[-1])))
-                    g = np.searchsorted(end, n, side="right")
-                    n -= end[g] - x.size[hit[g]] * y.size[to[g]]
-                    a, b = x.first[hit[g]] + n // y.size[to[g]], y.first[to[g]] + n % y.size[to[g]]
-                    if alone and not flips:
-                        a, b = a[a < b], b[a < b]
-                held.append((a, b))
-                count += len(a)
+        now, at, value = None, None, x.value
+        for top, mask in _flips(width, radius, alone):
+            if top != now:  # each pair of values once: from the one without the highest bit
+                now, at = top, np.flatnonzero(x.value >> top & 1 == 0)
+                value = x.value[at]
+            for lo in range(0, len(value), LOOKED_UP):
+                flipped = value[lo : lo + LOOKED_UP] ^ mask
+                hit = there.take(flipped).nonzero()[0]
+                if not len(hit):
+                    continue
+                to = place.take(flipped.take(hit))
+                hit += lo
+                for a, b in _crossed(x, y, hit if at is None else at.take(hit), to):
+                    near = np.flatnonzero(np.bitwise_count(x.chain.take(a) ^ y.chain.take(b)) <= bound)
+                    if not len(near):
+                        continue
+                    a, b = a.take(near), b.take(near)
+                    apart = x.root.take(a) != y.root.take(b)
+                    if alone and not mask:
+                        apart &= a < b
+                    held.append((x.order[a[apart]], y.order[b[apart]]))
+                    count += len(held[-1][0])
                 if count >= AT_ONCE:
                     keep(*(np.concatenate(c) for c in zip(*held)))
                     held, count = [], 0
-        if held:
+        if count:
             keep(*(np.concatenate(c) for c in zip(*held)))
     return found
 
 
+def dealt(own: list[tuple[int, int, int]], shares: int) -> list[list[int]]:
+    """The numbers of parts in so many shares, with about as many values to look up in each."""
+    out, load = [[] for _ in range(shares)], [0] * shares
+    for k in sorted(range(len(own)), key=lambda k: -own[k][2]):
+        least = load.index(min(load))
+        out[least].append(k)
+        load[least] += sum(math.comb(own[k][1], i) for i in range(own[k][2] + 1))
+    return out
+
+
 def _searcher(bits: int, most: int, shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[list[np.ndarray]]] = {}
@@ -437,18 +484,19 @@ def _searcher(bits: int, most: int, shares: int):
             task = batch.column(0).to_numpy()
             for t in np.unique(task):
                 own = pa.array(task == t)
-                held.setdefault(int(t), []).append([batch.column(1).filter(own).to_numpy(), batch.column(2).filter(own).to_numpy(), _rows(batch.column(3).filter(own))])
+                held.setdefault(int(t), []).append([batch.column(1).filter(own).to_numpy(), batch.column(2).filter(own).to_numpy(), _words(_rows(batch.column(3).filter(own))).view(np.uint8)])
         while held:
             t, rows = held.popitem()
             chunk, root, fp = (np.concatenate(c) for c in zip(*rows))
             del rows
-            own = parts(bits, most, len(fp))[t % shares :: shares]
             if chunk.min() == chunk.max():
                 other = other_root = None
             else:
                 second = chunk == chunk.max()
                 other, other_root, fp, root = fp[second], root[second], fp[~second], root[~second]
-            pairs = across(fp, root, other, other_root, most, own)
+                del second
+            own = parts(bits, most, len(fp))
+            pairs = across(fp, root, other, other_root, most, own, dealt(own, shares)[t % shares])
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(root[pairs[:, 0]]), pa.array((root if other is None else other_root)[pairs[:, 1]])], ["u", "v"])
 

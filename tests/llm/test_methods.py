@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import math
 import random
 
 import duckdb
@@ -641,6 +642,31 @@ def test_exact_search(bits, most):
         assert got == {tuple(sorted((int(root[i]), int(root[j])))) for i, j in pairs if near[i, j] and root[i] != root[j]} and got
 
 
+@pytest.mark.parametrize("alone", [True, False])
+def test_few_pairs_of_the_exact_search_are_held_against_each_other_whole(monkeypatch, alone):
+    """Of pairs that agree by chance in one part, next to none is compared in all its words; copies are found all the same."""
+    rng, n, compared, whole = np.random.default_rng(75), 20_000, [], simhash._copies
+    monkeypatch.setattr(simhash, "_copies", lambda x, y, i, j, most: compared.append(len(i)) or whole(x, y, i, j, most))
+    fp, root = rng.integers(0, 256, (n, 126 + simhash.SHINGLE_BITS // 8), dtype=np.uint8), np.arange(n)
+    fp[1], fp[-1] = fp[0], fp[0]
+    own = simhash.parts(1008, 151, n)
+    found = simhash.across(fp, root, None, None, 151, own) if alone else simhash.across(fp[: n // 2], root[: n // 2], fp[n // 2 :], root[n // 2 :], 151, own)
+    assert sorted(map(tuple, found.tolist())) == ([(0, 1), (0, n - 1), (1, n - 1)] if alone else [(0, n // 2 - 1), (1, n // 2 - 1)])
+    values = sum(sum(math.comb(width, i) for i in range(radius + 1)) for _, width, radius in own)
+    by_chance = values / 2 ** own[0][1] * n * n / (2 if alone else 4)
+    assert sum(compared) < by_chance / 100
+
+
+@pytest.mark.parametrize("rows", [200_000, 500_000])
+def test_shares_of_the_exact_search_are_even(rows):
+    own = simhash.parts(1008, 151, rows)
+    values = [sum(math.comb(width, i) for i in range(radius + 1)) for _, width, radius in own]
+    for shares in (1, 6, 12):
+        dealt = simhash.dealt(own, shares)
+        assert sorted(k for d in dealt for k in d) == list(range(len(own)))
+        assert max(sum(values[k] for k in d) for d in dealt) <= 1.3 * sum(values) / shares
+
+
 def test_long_unrelated_texts_stay(spark):
     """Texts of 300,000 words of one vocabulary are near in words, but no copies; edited copies of them are."""
     rng = np.random.default_rng(61)
