@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any, Protocol
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evscreen.errors import BatchJobError, InputError, ModelDriftError
-from evscreen.functions.text import parse_batch_reply, parse_reply
+from evscreen.functions.text import parse_batch_replies, parse_batch_reply, parse_reply
 from evscreen.operators import codecs
 from evscreen.sources.ingest import EnsembleConfig, RaterSpec, prompt_for
 
@@ -415,16 +415,21 @@ def fetch_jobs(services: list[BatchService], jobs: dict[str, Job], wait: float =
     return out
 
 
-def reassemble(results: DataFrame, ids: DataFrame) -> DataFrame:
+def reassemble(results: DataFrame, ids: DataFrame, of: Sequence[str] = ()) -> DataFrame:
     """(record_id, rating), and raw if results have it, from job results (custom_id, reply) and the map (custom_id, record_id).
 
-    A packed reply gives each of its records a rating or counts for none of
-    them: it is one answer, and what is wrong with it can't be laid to a single
-    record. Requests hold a bounded number of records, so their windows do too.
+    of: columns of results that tell several jobs over the same ids apart; they
+    stay. A packed reply gives each of its records a rating or counts for none
+    of them: it is one answer, and what is wrong with it can't be laid to a
+    single record. Requests hold a bounded number of records, so their windows
+    do too. Replies are short but dear to read, so they are spread by number,
+    not by size.
     """
-    own = Window.partitionBy("custom_id")
-    joined = results.join(ids.withColumn("packed", F.count("*").over(own) > 1), "custom_id")
-    rating = F.when(F.col("packed"), parse_batch_reply(F.col("reply"), F.col("record_id"))).otherwise(parse_reply(F.col("reply"))["rating"])
-    more = [c for c in ("raw",) if c in results.columns]
-    rated = joined.select("custom_id", "record_id", rating.alias("rating"), *more).withColumn("whole", F.min(F.col("rating").isNotNull()).over(own))
-    return rated.where("whole").select("record_id", "rating", *more)
+    more = [*of, *(c for c in ("raw",) if c in results.columns)]
+    members = ids.groupBy("custom_id").agg(F.collect_list(F.struct("record_id")).alias("members"))
+    spread = results.repartition(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), "custom_id")
+    each = F.transform("members", lambda x: x["record_id"])
+    single = F.transform(each, lambda x: F.struct(x.alias("record_id"), parse_reply(F.col("reply"))["rating"].alias("rating")))
+    rated = spread.join(members, "custom_id").select("custom_id", *more, F.when(F.size("members") > 1, parse_batch_replies(F.col("reply"), each)).otherwise(single).alias("rated"))
+    rated = rated.withColumn("whole", F.min(F.forall("rated", lambda x: x["rating"].isNotNull())).over(Window.partitionBy("custom_id", *of)))
+    return rated.where("whole").select(F.explode("rated").alias("rated"), *more).select("rated.record_id", "rated.rating", *more)

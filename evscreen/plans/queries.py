@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evscreen.functions import stats
-from evscreen.functions.text import parse_batch_reply, parse_reply
+from evscreen.functions.text import bound, parse_batch_reply, parse_reply
 from evscreen.operators import ablation, agreement, audit, codecs, confidence, decide, drift, ensemble, prefilter, provenance, recall, review
 from evscreen.sources import ingest, store
 
@@ -163,13 +162,15 @@ def batch_services(spark, d):
     ids = packed.select(ensemble.custom_id().alias("custom_id"), "record_id", _reply(F.sha2("record_id", 256)).alias("r"))
     texts = ids.groupBy("custom_id").agg(F.when(F.count("*") > 1, F.to_json(F.map_from_entries(F.collect_list(F.struct("record_id", "r"))))).otherwise(F.first("r")).alias("text"))
     chunks = ensemble.chunk_requests(packed).join(texts, "custom_id")
-    out = []
-    for vendor in ("anthropic", "google", "mistral", "openai", "together"):
-        asked = chunks.select(codecs.line(vendor, codecs.Options("m"), F.col("custom_id"), F.col("system"), F.col("user"), F.col("size")).alias("line"), "text")
-        key = F.get_json_object("line", "$.key" if vendor == "google" else "$.custom_id")
-        back = asked.select(codecs.returned(vendor, codecs.answer(vendor, key, F.col("text"), "m")).alias("r")).select("r.custom_id", F.col("r.text").alias("reply"))
-        out.append(ensemble.reassemble(back, ids.select("custom_id", "record_id")).groupBy("rating").agg(F.count("*").alias("n")).withColumn("vendor", F.lit(vendor)))
-    return functools.reduce(lambda a, b: a.union(b), out)
+
+    def back(vendor):  # lines are long: each is made, and read, once
+        line = codecs.line(vendor, codecs.Options("m"), F.col("custom_id"), F.col("system"), F.col("user"), F.col("size"))
+        key = F.get_json_object(line, "$.key" if vendor == "google" else "$.custom_id")
+        return bound(codecs.answer(vendor, key, F.col("text"), "m"), lambda answer: F.struct(F.lit(vendor).alias("vendor"), codecs.returned(vendor, answer).alias("r")))
+
+    answered = chunks.select(F.explode(F.array(*map(back, ("anthropic", "google", "mistral", "openai", "together")))).alias("b")).select("b.vendor", "b.r.custom_id", F.col("b.r.text").alias("reply"))
+    out = ensemble.reassemble(answered, ids.select("custom_id", "record_id"), of=["vendor"])
+    return out.groupBy("vendor", "rating").agg(F.count("*").alias("n")).select("rating", "n", "vendor")
 
 
 # decisions
